@@ -31,36 +31,34 @@ def distinct_ips(packets: DataFrame) -> DataFrame:
     return all_endpoints(packets).distinct()
 
 
-def _piece(level: int, unit: Column) -> Column:
+def _piece(level: int, unit: str) -> str:
     """Key of a piece: the level in the high half, the piece number in the low half."""
-    return unit + F.lit(level).cast("bigint") * F.lit(2**32)
+    return f"({unit}) + {level * 2**32}L"
+
+
+def _run(level: int, first: str, end: str) -> str:
+    """Keys of the pieces ``first`` to ``end``, without ``end``."""
+    keys = f"sequence({_piece(level, first)}, {_piece(level, f'{end} - 1')})"
+    return f"if({first} < {end}, {keys}, cast(array() as array<bigint>))"
 
 
 def _block_pieces() -> Column:
     """Keys of the aligned pieces that make up ``ip_from``..``ip_to``, largest first."""
-    start, stop = F.col("ip_from"), F.col("ip_to") + 1
     keys, outer = [], None
     for level in _LEVELS:
         shift = 32 - level
         # Whole pieces of this size inside the block: [low, high).
-        low = F.shiftright(start + (2**shift - 1), shift)
-        high = F.shiftright(stop, shift)
-
-        def run(first: Column, end: Column, level: int = level) -> Column:
-            return F.when(
-                first < end, F.sequence(_piece(level, first), _piece(level, end - 1))
-            ).otherwise(F.expr(_NO_PIECES))
-
+        low = f"shiftright(ip_from + {2**shift - 1}L, {shift})"
+        high = f"shiftright(ip_to + 1, {shift})"
         if outer is None:
-            keys.append(run(low, high))
+            keys.append(_run(level, low, high))
         else:
             # Larger pieces already cover the middle; both margins remain.
-            covered = outer[0] < outer[1]
-            left_end = F.when(covered, outer[0] * 16).otherwise(high)
-            right_start = F.when(covered, outer[1] * 16).otherwise(high)
-            keys += [run(low, left_end), run(right_start, high)]
+            covered = f"{outer[0]} < {outer[1]}"
+            keys.append(_run(level, low, f"if({covered}, {outer[0]} * 16, {high})"))
+            keys.append(_run(level, f"if({covered}, {outer[1]} * 16, {high})", high))
         outer = (low, high)
-    return F.concat(*keys)
+    return F.expr(f"concat({', '.join(keys)})")
 
 
 def block_pieces(blocks: DataFrame) -> DataFrame:
@@ -92,10 +90,9 @@ def _address_pieces(address: str) -> Column:
 
     That key differs between addresses, so that they do not meet in one task.
     """
-    value = F.col("_value")
-    pieces = [_piece(level, F.shiftright(value, 32 - level)) for level in _LEVELS]
-    nowhere = F.array(F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(address), F.lit(2**31)))
-    return F.when(value.isNotNull(), F.array(*pieces)).otherwise(nowhere)
+    pieces = ", ".join(_piece(n, f"shiftright(_value, {32 - n})") for n in _LEVELS)
+    nowhere = f"-1L - pmod(xxhash64({address}), {2**31}L)"
+    return F.expr(f"if(_value is not null, array({pieces}), array({nowhere}))")
 
 
 def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame:

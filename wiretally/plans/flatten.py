@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from wiretally.schema import BUCKETS, CAPTURES
 
-Pick = Callable[[Column], Column]
-
 
 def report_values(report: DataFrame) -> DataFrame:
     """``(part, section, position, label, number, text)`` of every report value.
@@ -18,116 +15,63 @@ def report_values(report: DataFrame) -> DataFrame:
     ``section`` is the path in the document and ``position`` the place in the
     array at that path. Absent values give no row.
     """
-    entries = F.concat(*_entries())
-    return report.select("part", F.inline(entries)).where(
-        F.col("number").isNotNull() | F.col("text").isNotNull()
+    entries = ", ".join(_entries())
+    return report.selectExpr("part", f"inline(concat({entries}))").where(
+        "number is not null or text is not null"
     )
 
 
-def _items(
-    section: str,
-    array: Column,
-    number: Pick | None = None,
-    label: Pick | None = None,
-    text: Pick | None = None,
-) -> Column:
-    def value(pick: Pick | None, element: Column, kind: str) -> Column:
-        return (F.lit(None) if pick is None else pick(element)).cast(kind)
-
-    return F.transform(
-        array,
-        lambda e, i: F.struct(
-            F.lit(section).alias("section"),
-            i.cast("bigint").alias("position"),
-            value(label, e, "string").alias("label"),
-            F.round(value(number, e, "double"), 6).alias("number"),
-            value(text, e, "string").alias("text"),
-        ),
+def _entry(section: str, label: str, number: str, text: str) -> str:
+    return (
+        f"named_struct('section', '{section}', 'position', cast(i as bigint),"
+        f" 'label', cast({label} as string), 'number', round(cast({number} as double), 6),"
+        f" 'text', cast({text} as string))"
     )
 
 
-def _entries() -> Iterator[Column]:
-    def itself(e: Column) -> Column:
-        return e
+def _items(
+    section: str, array: str, number: str = "null", label: str = "null", text: str = "null"
+) -> str:
+    """SQL for one entry per element ``e`` at position ``i`` of ``array``."""
+    return f"transform({array}, (e, i) -> {_entry(section, label, number, text)})"
+
 
+def _entries() -> Iterator[str]:
     for block in ("AveragePacketRate", "AveragePacketData"):
         for c in CAPTURES:
             for name in ("X", "Y"):
                 path = f"{block}.{c}_{name}"
-                yield _items(path, F.col(path), itself)
+                yield _items(path, path, "e")
             for name in ("Average", "min", "max"):
                 path = f"{block}.{c}_{name}"
-                yield _items(path, F.array(path), itself)
+                yield _items(path, f"array({path})", "e")
     for c in CAPTURES:
         for name in (*BUCKETS, "X"):
             path = f"AverageProtocolRate.{c}.{name}"
-            yield _items(path, F.col(path), itself)
+            yield _items(path, path, "e")
         for name in (*BUCKETS, "x"):
             path = f"ProtocolDistribution.{c}.{name}"
-            yield _items(path, F.array(path), itself)
+            yield _items(path, f"array({path})", "e")
         for listed in ("Source", "Destination"):
             yield from _profile_entries(f"BehaviorOfTopIP.{c}BehaviorOf{listed}")
-        yield _items(
-            f"Map.{c}DS",
-            F.col(f"Map.{c}DS"),
-            lambda e: e["value"],
-            lambda e: F.concat(e["source"], F.lit(" "), e["destination"]),
-        )
-    yield _items(
-        "Map.victimData", F.col("Map.victimData"), lambda e: e["value"], lambda e: e["destination"]
-    )
+        path = f"Map.{c}DS"
+        yield _items(path, path, "e.value", "concat(e.source, ' ', e.destination)")
+    yield _items("Map.victimData", "Map.victimData", "e.value", "e.destination")
     for name in ("longitude", "latitude"):
-        yield _items(
-            f"Map.geoData.{name}",
-            F.col("Map.geoData"),
-            lambda e, name=name: e[name],
-            lambda e: e["ip"],
-        )
+        yield _items(f"Map.geoData.{name}", "Map.geoData", f"e.{name}", "e.ip")
 
 
-def _profile_entries(path: str) -> Iterator[Column]:
-    profiles = F.col(path)
+def _profile_entries(path: str) -> Iterator[str]:
     for role, data in (("Source", "sendData"), ("Destination", "receiveData")):
         for field in ("PacketNumber", data):
-            yield _items(
-                f"{path}.{role}.{field}",
-                profiles,
-                lambda e, role=role, field=field: e[role][field],
-                lambda e: e["IP"],
-            )
+            yield _items(f"{path}.{role}.{field}", path, f"e.{role}.{field}", "e.IP")
         for field in ("FirstConnection", "LastConnection"):
             yield _items(
-                f"{path}.{role}.{field}",
-                profiles,
-                label=lambda e: e["IP"],
-                text=lambda e, role=role, field=field: e[role][field],
+                f"{path}.{role}.{field}", path, label="e.IP", text=f"e.{role}.{field}"
             )
         yield _items(
-            f"{path}.{role}.Country",
-            profiles,
-            label=lambda e: e["IP"],
-            text=lambda e, role=role: e[role]["Country"]["name"],
+            f"{path}.{role}.Country", path, label="e.IP", text=f"e.{role}.Country.name"
         )
         # A profile's protocols keep the profile's own position.
-        yield F.flatten(
-            F.transform(
-                profiles,
-                _protocol_items(f"{path}.{role}.Protocols", role),
-            )
-        )
-
-
-def _protocol_items(section: str, role: str) -> Callable[[Column, Column], Column]:
-    def items(profile: Column, i: Column) -> Column:
-        return F.transform(
-            profile[role]["Protocols"],
-            lambda p: F.struct(
-                F.lit(section).alias("section"),
-                i.cast("bigint").alias("position"),
-                F.concat(profile["IP"], F.lit(" "), p["Name"]).alias("label"),
-                p["rate"].cast("double").alias("number"),
-                F.lit(None).cast("string").alias("text"),
-            ),
-        )
-
-    return items
+        entry = _entry(f"{path}.{role}.Protocols", "concat(e.IP, ' ', p.Name)", "p.rate", "null")
+        yield f"flatten(transform({path}, (e, i) -> transform(e.{role}.Protocols, p -> {entry})))"

@@ -68,40 +68,53 @@ def report_document(
     return _assemble(parts, run_id or uuid.uuid4().hex)
 
 
-def _part(index: Column, part_size: int) -> Column:
-    return F.call_function("div", index, F.lit(part_size))
+def _part(index: str, part_size: int) -> Column:
+    return F.expr(f"({index}) div {part_size}").alias("part")
 
 
-def _gather(condition: Column, position: str, *fields: Column) -> Column:
+def _gather(condition: str, position: str, *fields: str) -> Column:
     """Array of structs of ``fields`` in order of ``position``, where ``condition`` holds."""
-    return F.sort_array(F.collect_list(F.when(condition, F.struct(position, *fields))))
+    row = f"struct({', '.join((position, *fields))})"
+    return F.expr(f"sort_array(collect_list({row}) filter (where {condition}))")
 
 
 def _series(seconds: DataFrame, part_size: int) -> DataFrame:
-    columns = ["packets", "bytes", *BUCKETS]
-    return seconds.groupBy(_part(F.col("idx"), part_size).alias("part")).agg(
-        *[
-            _gather(F.col("capture") == c, "idx", *map(F.col, columns)).alias(f"{c}_series")
-            for c in CAPTURES
-        ]
+    columns = ("packets", "bytes", *BUCKETS)
+    return seconds.groupBy(_part("idx", part_size)).agg(
+        *[_gather(f"capture = '{c}'", "idx", *columns).alias(f"{c}_series") for c in CAPTURES]
     )
 
 
 def _summary(seconds: DataFrame) -> DataFrame:
     """Rate summaries and protocol totals of both captures as one row."""
-    aggregates = []
+    columns = []
     for c in CAPTURES:
-        for metric in ("packets", "bytes"):
-            value = F.when(F.col("capture") == c, F.col(metric))
-            aggregates += [
-                F.avg(value).alias(f"{c}_{metric}_avg"),
-                F.min(value).alias(f"{c}_{metric}_min"),
-                F.max(value).alias(f"{c}_{metric}_max"),
-            ]
-        for b in BUCKETS:
-            total = F.sum(F.when(F.col("capture") == c, F.col(b)))
-            aggregates.append(F.nullif(total, F.lit(0)).alias(f"{c}_{b}"))
-    return seconds.agg(*aggregates).withColumn("part", F.lit(0).cast("bigint"))
+        only = f"filter (where capture = '{c}')"
+        columns += [
+            f"{f}({metric}) {only} as {c}_{metric}_{f}"
+            for metric in ("packets", "bytes")
+            for f in ("avg", "min", "max")
+        ]
+        columns += [f"nullif(sum({b}) {only}, 0) as {c}_{b}" for b in BUCKETS]
+    return seconds.selectExpr("0L as part", *columns)
+
+
+def _profile_block(role: str, bytes_name: str, zone: str) -> Column:
+    def pick(column: Column | str) -> Column:
+        return F.max(F.when(F.col("role") == role, column))
+
+    def time(name: str) -> Column:
+        return pick(readable_time(F.col(name).cast("bigint"), zone))
+
+    return F.struct(
+        pick(F.col("packets")).alias("PacketNumber"),
+        pick(F.col("bytes")).alias(bytes_name),
+        time("first_connection").alias("FirstConnection"),
+        time("last_connection").alias("LastConnection"),
+        F.coalesce(pick(F.col("protocols")), F.array()).alias("Protocols"),
+        F.struct(F.max("country").alias("name")).alias("Country"),
+        F.lit(None).alias("Hours"),
+    )
 
 
 def _behaviour(
@@ -110,43 +123,26 @@ def _behaviour(
     profiles = hosts.profile_rows(totals, geo.locate(listed.drop("n"), blocks))
     # A host's protocol names are bounded by what the dissector knows.
     protocols = totals.groupBy("capture", "ip", "role").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(F.col("protocol_name").alias("Name"), F.col("packets").alias("rate"))
-            )
+        F.expr(
+            "sort_array(collect_list(struct(protocol_name as Name, packets as rate)))"
         ).alias("protocols")
     )
-    rows = profiles.join(protocols, ["capture", "ip", "role"], "left")
-
-    def block(role: str, bytes_name: str) -> Column:
-        def pick(column: Column) -> Column:
-            return F.max(F.when(F.col("role") == role, column))
-
-        def time(name: str) -> Column:
-            return readable_time(F.col(name).cast("bigint"), zone)
-
-        return F.struct(
-            pick(F.col("packets")).alias("PacketNumber"),
-            pick(F.col("bytes")).alias(bytes_name),
-            pick(time("first_connection")).alias("FirstConnection"),
-            pick(time("last_connection")).alias("LastConnection"),
-            F.coalesce(pick(F.col("protocols")), F.array()).alias("Protocols"),
-            F.struct(F.max("country").alias("name")).alias("Country"),
-            F.lit(None).alias("Hours"),
+    one_per_host = (
+        profiles.join(protocols, ["capture", "ip", "role"], "left")
+        .groupBy("capture", "listed_as", "rank", "ip")
+        .agg(
+            F.struct(
+                F.col("ip").alias("IP"),
+                _profile_block("src", "sendData", zone).alias("Source"),
+                _profile_block("dst", "receiveData", zone).alias("Destination"),
+            ).alias("profile")
         )
-
-    one_per_host = rows.groupBy("capture", "listed_as", "rank", "ip").agg(
-        F.struct(
-            F.col("ip").alias("IP"),
-            block("src", "sendData").alias("Source"),
-            block("dst", "receiveData").alias("Destination"),
-        ).alias("profile")
     )
-    return one_per_host.groupBy(_part(F.col("rank") - 1, part_size).alias("part")).agg(
+    return one_per_host.groupBy(_part("rank - 1", part_size)).agg(
         *[
-            _gather(
-                (F.col("capture") == c) & (F.col("listed_as") == r), "rank", F.col("profile")
-            ).alias(f"{c}_{r}_profiles")
+            _gather(f"capture = '{c}' and listed_as = '{r}'", "rank", "profile").alias(
+                f"{c}_{r}_profiles"
+            )
             for c in CAPTURES
             for r in ("src", "dst")
         ]
@@ -154,11 +150,9 @@ def _behaviour(
 
 
 def _pairs(top: DataFrame, part_size: int) -> DataFrame:
-    return top.groupBy(_part(F.col("rank") - 1, part_size).alias("part")).agg(
+    return top.groupBy(_part("rank - 1", part_size)).agg(
         *[
-            _gather(
-                F.col("capture") == c, "rank", F.col("src"), F.col("dst"), F.col("value")
-            ).alias(f"{c}_pairs")
+            _gather(f"capture = '{c}'", "rank", "src", "dst", "value").alias(f"{c}_pairs")
             for c in CAPTURES
         ]
     )
@@ -168,90 +162,71 @@ def _locations(counts: DataFrame, blocks: DataFrame, part_size: int) -> DataFram
     located = geo.geo_map(counts, blocks)
     # At most 65,536 addresses share a /16; other text is spread by hash.
     block = F.coalesce(
-        F.shiftright(ip_to_long(), 16), F.lit(65_536) + F.pmod(F.xxhash64("ip"), F.lit(65_536))
+        F.shiftright(ip_to_long(), 16), F.expr("65536L + pmod(xxhash64(ip), 65536L)")
     )
     numbered = dense_index(located, "ip", block, by=())
-    return numbered.groupBy(_part(F.col("idx"), part_size).alias("part")).agg(
-        _gather(F.lit(True), "idx", F.col("ip"), F.col("longitude"), F.col("latitude")).alias(
-            "locations"
-        )
+    return numbered.groupBy(_part("idx", part_size)).agg(
+        _gather("true", "idx", "ip", "longitude", "latitude").alias("locations")
     )
 
 
-def _assemble(parts: DataFrame, run_id: str) -> DataFrame:
-    def column_of(items: str, field: str) -> Column:
-        return F.coalesce(F.transform(items, lambda e: e[field]), F.array())
-
-    def rate(metric: str) -> Column:
-        return F.struct(
-            *[column_of(f"{c}_series", "idx").alias(f"{c}_X") for c in CAPTURES],
-            *[
-                F.col(f"{c}_{metric}_{short}").alias(f"{c}_{name}")
-                for short, name in (("avg", "Average"), ("min", "min"), ("max", "max"))
-                for c in CAPTURES
-            ],
-            *[column_of(f"{c}_series", metric).alias(f"{c}_Y") for c in CAPTURES],
-        )
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
-    def protocol_rate(c: str) -> Column:
-        return F.struct(
-            *[column_of(f"{c}_series", b).alias(b) for b in BUCKETS],
-            column_of(f"{c}_series", "idx").alias("X"),
-        )
 
-    def distribution(c: str) -> Column:
-        present = sum(
-            (F.col(f"{c}_{b}").isNotNull().cast("bigint") for b in BUCKETS),
-            F.lit(0).cast("bigint"),
-        )
-        return F.struct(
-            *[F.col(f"{c}_{b}").alias(b) for b in BUCKETS],
-            F.when(F.col("part") == 0, present).alias("x"),
-        )
+def _list(array: str, element: str) -> str:
+    """SQL for ``array`` mapped to ``element`` of ``e``; an absent array is empty."""
+    return f"coalesce(transform({array}, e -> {element}), array())"
 
-    def pair_list(c: str) -> Column:
-        return F.coalesce(
-            F.transform(
-                f"{c}_pairs",
-                lambda p: F.struct(
-                    p["src"].alias("source"), p["dst"].alias("destination"), p["value"]
-                ),
-            ),
-            F.array(),
-        )
 
-    victim_list = F.coalesce(
-        F.transform(
-            "attack_pairs", lambda p: F.struct(p["dst"].alias("destination"), p["value"])
-        ),
-        F.array(),
-    )
-    location_list = F.coalesce(
-        F.transform("locations", lambda e: F.struct(e["ip"], e["longitude"], e["latitude"])),
-        F.array(),
+def _rate(metric: str) -> str:
+    short = {"Average": "avg", "min": "min", "max": "max"}
+    return _struct(
+        {f"{c}_X": _list(f"{c}_series", "e.idx") for c in CAPTURES}
+        | {f"{c}_{name}": f"{c}_{metric}_{s}" for name, s in short.items() for c in CAPTURES}
+        | {f"{c}_Y": _list(f"{c}_series", f"e.{metric}") for c in CAPTURES}
     )
+
+
+def _protocol_rate(c: str) -> str:
+    return _struct({b: _list(f"{c}_series", f"e.{b}") for b in BUCKETS} | {
+        "X": _list(f"{c}_series", "e.idx")
+    })
+
+
+def _distribution(c: str) -> str:
+    present = " + ".join(f"if({c}_{b} is null, 0, 1)" for b in BUCKETS)
+    return _struct({b: f"{c}_{b}" for b in BUCKETS} | {"x": f"if(part = 0, {present}, null)"})
+
+
+def _assemble(parts: DataFrame, run_id: str) -> DataFrame:
+    pair = _struct({"source": "e.src", "destination": "e.dst", "value": "e.value"})
+    victim = _struct({"destination": "e.dst", "value": "e.value"})
+    place = _struct({n: f"e.{n}" for n in ("ip", "longitude", "latitude")})
     sections = {
-        "run_id": F.lit(run_id),
-        "part": F.col("part"),
-        "user": F.lit(REPORT_USER),
-        "AveragePacketRate": rate("packets"),
-        "AveragePacketData": rate("bytes"),
-        "AverageProtocolRate": F.struct(*[protocol_rate(c).alias(c) for c in CAPTURES]),
-        "ProtocolDistribution": F.struct(*[distribution(c).alias(c) for c in CAPTURES]),
-        "BehaviorOfTopIP": F.struct(
-            *[
-                column_of(f"{c}_{r}_profiles", "profile").alias(f"{c}BehaviorOf{role}")
+        "part": "part",
+        "user": f"'{REPORT_USER}'",
+        "AveragePacketRate": _rate("packets"),
+        "AveragePacketData": _rate("bytes"),
+        "AverageProtocolRate": _struct({c: _protocol_rate(c) for c in CAPTURES}),
+        "ProtocolDistribution": _struct({c: _distribution(c) for c in CAPTURES}),
+        "BehaviorOfTopIP": _struct(
+            {
+                f"{c}BehaviorOf{role}": _list(f"{c}_{r}_profiles", "e.profile")
                 for c in CAPTURES[::-1]
                 for r, role in (("src", "Source"), ("dst", "Destination"))
-            ]
+            }
         ),
-        "Map": F.struct(
-            location_list.alias("geoData"),
-            pair_list("attack").alias("attackDS"),
-            pair_list("normal").alias("normalDS"),
-            victim_list.alias("victimData"),
+        "Map": _struct(
+            {
+                "geoData": _list("locations", place),
+                "attackDS": _list("attack_pairs", pair),
+                "normalDS": _list("normal_pairs", pair),
+                "victimData": _list("attack_pairs", victim),
+            }
         ),
     }
+    columns = {name: F.expr(sql) for name, sql in sections.items()} | {"run_id": F.lit(run_id)}
     return parts.select(
-        *[sections[f.name].cast(f.dataType).alias(f.name) for f in REPORT_SCHEMA.fields]
+        *[columns[f.name].cast(f.dataType).alias(f.name) for f in REPORT_SCHEMA.fields]
     )
