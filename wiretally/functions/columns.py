@@ -41,7 +41,7 @@ def time_bucket(width: int = 1, arrival: str = "arrival_time") -> Column:
     if width < 1:
         raise ValueError("width must be at least one second")
     second = epoch_second(arrival)
-    return second if width == 1 else second - second % F.lit(width)
+    return second if width == 1 else second - F.pmod(second, F.lit(width))
 
 
 def wall_clock(second: Column, zone: str = "UTC") -> Column:

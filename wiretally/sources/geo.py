@@ -31,7 +31,8 @@ def blocks_from_cidr(table: DataFrame, network: str = "network") -> DataFrame:
 
 
 def conform_blocks(table: DataFrame) -> DataFrame:
-    """Fit a block table to the geo schema; missing attributes become null.
+    """Fit a block table to the geo schema; missing or unreadable values
+    become null.
 
     Takes either ``ip_from``/``ip_to`` bounds, both inclusive, or ``network``.
     Without ``prefix_len`` a range counts as specific as its width.
@@ -39,11 +40,11 @@ def conform_blocks(table: DataFrame) -> DataFrame:
     if "ip_from" not in table.columns:
         table = blocks_from_cidr(table)
     if "prefix_len" not in table.columns:
-        width = F.col("ip_to") - F.col("ip_from") + 1
+        width = F.col("ip_to").try_cast("bigint") - F.col("ip_from").try_cast("bigint") + 1
         table = table.withColumn("prefix_len", F.lit(32) - F.ceil(F.log2(width)))
     columns = [
         (F.col(f.name) if f.name in table.columns else F.lit(None))
-        .cast(f.dataType)
+        .try_cast(f.dataType)
         .alias(f.name)
         for f in GEO_SCHEMA.fields
     ]
