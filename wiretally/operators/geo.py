@@ -1,16 +1,18 @@
-"""Address location: distinct addresses and the address-to-block join.
+"""Address location: distinct addresses, and the block each one lies in.
 
 A ``between`` join would compare every address with every block. Here each
-block is cut into aligned pieces of five fixed sizes, /16 to /32. An address
-lies in exactly one aligned piece of each size, so the lookup is an equality
-join on piece numbers. Pieces are made unique before the join: an address
-meets at most five of them, and a piece at most 65,536 addresses, however
-many blocks overlap.
+block is cut into aligned pieces of five fixed sizes, /16 to /32, each kept
+once. Pieces of one size do not overlap, so the only piece of a size that can
+hold an address is the last one to start at or before it. Addresses and pieces
+are shuffled by /16 and sorted together, and one running window carries the
+last piece of each size along: an address is shuffled once, whatever the
+number and overlap of the blocks. A /16 holds at most 65,536 addresses and
+some 70,000 pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import ip_to_long
@@ -36,29 +38,36 @@ def _piece(level: int, unit: str) -> str:
     return f"({unit}) + {level * 2**32}L"
 
 
-def _run(level: int, first: str, end: str) -> str:
-    """Keys of the pieces ``first`` to ``end``, without ``end``."""
-    keys = f"sequence({_piece(level, first)}, {_piece(level, f'{end} - 1')})"
-    return f"if({first} < {end}, {keys}, cast(array() as array<bigint>))"
+def _runs(ranges: DataFrame) -> DataFrame:
+    """``(first, end, hit)``: runs of adjacent pieces that make up each range, by key.
 
-
-def _block_pieces() -> Column:
-    """Keys of the aligned pieces that make up ``ip_from``..``ip_to``, largest first."""
-    keys, outer = [], None
+    Of every size only what larger pieces leave over is taken: one run for the
+    largest size, and one at either end for the others. Most are empty.
+    """
+    bounds, runs, outer = [], [], None
     for level in _LEVELS:
         shift = 32 - level
-        # Whole pieces of this size inside the block: [low, high).
-        low = f"shiftright(ip_from + {2**shift - 1}L, {shift})"
-        high = f"shiftright(ip_to + 1, {shift})"
+        # Whole pieces of this size inside the range: low up to high, without high.
+        bounds += [
+            f"shiftright(ip_from + {2**shift - 1}L, {shift}) as low_{level}",
+            f"shiftright(ip_to + 1, {shift}) as high_{level}",
+        ]
+        low, high = f"low_{level}", f"high_{level}"
         if outer is None:
-            keys.append(_run(level, low, high))
+            runs.append((level, low, high))
         else:
-            # Larger pieces already cover the middle; both margins remain.
-            covered = f"{outer[0]} < {outer[1]}"
-            keys.append(_run(level, low, f"if({covered}, {outer[0]} * 16, {high})"))
-            keys.append(_run(level, f"if({covered}, {outer[1]} * 16, {high})", high))
-        outer = (low, high)
-    return F.expr(f"concat({', '.join(keys)})")
+            covered = f"low_{outer} < high_{outer}"
+            runs.append((level, low, f"if({covered}, low_{outer} * 16, {high})"))
+            runs.append((level, f"if({covered}, high_{outer} * 16, {high})", high))
+        outer = level
+    keys = ", ".join(
+        f"struct({_piece(n, first)} as first, {_piece(n, end)} as end)" for n, first, end in runs
+    )
+    return (
+        ranges.selectExpr("hit", *bounds)
+        .selectExpr(f"inline(array({keys}))", "hit")
+        .where("first < end")
+    )
 
 
 def block_pieces(blocks: DataFrame) -> DataFrame:
@@ -79,44 +88,59 @@ def block_pieces(blocks: DataFrame) -> DataFrame:
     # Copies of a range collapse before it is cut up.
     ranges = valid.groupBy("ip_from", "ip_to").agg(F.max(hit).alias("hit"))
     return (
-        ranges.select(F.explode(_block_pieces()).alias("piece"), "hit")
+        _runs(ranges)
+        .selectExpr("explode(sequence(first, end - 1)) as piece", "hit")
         .groupBy("piece")
         .agg(F.max("hit").alias("hit"))
     )
 
 
-def _address_pieces(address: str) -> Column:
-    """The five pieces an address lies in; for a malformed one, a key no block has.
-
-    That key differs between addresses, so that they do not meet in one task.
-    """
-    pieces = ", ".join(_piece(n, f"shiftright(_value, {32 - n})") for n in _LEVELS)
-    nowhere = f"-1L - pmod(xxhash64({address}), {2**31}L)"
-    return F.expr(f"if(_value is not null, array({pieces}), array({nowhere}))")
-
-
 def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame:
-    """Add ``found, country, city, latitude, longitude`` of ``address`` to distinct rows.
+    """Add ``found, country, city, latitude, longitude`` of ``address`` to rows.
 
     Addresses in no block, empty or malformed get the not-found values; a null
-    attribute of a matching block stays null. The rows travel with their
-    address, so nothing is joined back. Spark picks the join strategy from the
-    sizes of both sides.
+    attribute of a matching block stays null. Rows of one address meet in one
+    task: their number must be bounded.
     """
     kept = rows.columns
-    best = (
-        rows.withColumn("_value", ip_to_long(address))
-        .select(*kept, F.explode(_address_pieces(address)).alias("piece"))
-        .join(block_pieces(blocks), "piece", "left")
-        .groupBy(*kept)
-        .agg(F.max("hit").alias("hit"))
+    value = ip_to_long(address)
+    # Malformed addresses get /16 numbers no block has, spread over many tasks.
+    nowhere = F.expr(f"-1L - pmod(xxhash64(`{address}`), {2**31}L)")
+    wanted = rows.select(
+        F.struct(*kept).alias("row"),
+        F.coalesce(F.shiftright(value, 16), nowhere).alias("block"),
+        F.coalesce(value, F.lit(-1)).alias("at"),
+    )
+    pieces = block_pieces(blocks).selectExpr(
+        "cast(shiftright(piece, 32) as int) as level", "piece", "hit"
+    )
+    starts = F.expr("shiftleft(piece & 4294967295L, 32 - level)")
+    sorted_in = pieces.select(
+        "level", "piece", "hit", F.shiftright(starts, 16).alias("block"), starts.alias("at")
+    ).unionByName(wanted, allowMissingColumns=True)
+    # Pieces come before the addresses at their start.
+    so_far = Window.partitionBy("block").orderBy("at", F.col("level").asc_nulls_last())
+    last = [
+        F.last(F.expr(f"if(level = {n}, struct(piece, hit), null)"), ignorenulls=True)
+        .over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+        .alias(f"last_{n}")
+        for n in _LEVELS
+    ]
+    holding = ", ".join(
+        f"if(last_{n}.piece = {_piece(n, f'shiftright(at, {32 - n})')}, last_{n}.hit, null)"
+        for n in _LEVELS
+    )
+    located = (
+        sorted_in.select("row", "at", *last)
+        .where("row is not null")
+        .select("row.*", F.expr(f"greatest({holding})").alias("hit"))
     )
     found = F.col("hit").isNotNull()
 
     def attribute(name: str, default: object) -> Column:
         return F.when(found, F.col(f"hit.{name}")).otherwise(F.lit(default)).alias(name)
 
-    return best.select(
+    return located.select(
         *kept,
         found.alias("found"),
         attribute("country", NAME_NOT_FOUND),
