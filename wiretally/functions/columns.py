@@ -61,8 +61,7 @@ def readable_time(second: Column, zone: str = "UTC") -> Column:
 def ip_to_long(address: str = "ip") -> Column:
     """Dotted IPv4 text to its 32-bit number, null when empty or malformed."""
     text = F.col(address)
-    octets = F.split(text, r"\.")
     value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
+    for i in range(1, 5):
+        value = value * 256 + F.split_part(text, F.lit("."), F.lit(i)).try_cast("bigint")
     return F.when(text.rlike(_IPV4), value)

@@ -20,8 +20,9 @@ from wiretally.operators.ranking import top_k
 from wiretally.schema import COORDINATE_NOT_FOUND, NAME_NOT_FOUND
 
 _LEVELS = (16, 20, 24, 28, 32)
+# Longest address list sent to every executor: five 8-byte keys per address.
+BROADCAST_ROWS = 50_000
 _ATTRIBUTES = ("country", "city", "latitude", "longitude")
-_NO_PIECES = "cast(array() as array<bigint>)"
 
 
 def all_endpoints(packets: DataFrame) -> DataFrame:
@@ -70,11 +71,13 @@ def _runs(ranges: DataFrame) -> DataFrame:
     )
 
 
-def block_pieces(blocks: DataFrame) -> DataFrame:
+def block_pieces(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``(piece, hit)``: each aligned piece once, with its most specific block.
 
     Longest ``prefix_len`` wins, then the narrower range, then the lower start,
     then the attribute values, so the choice never depends on row order.
+    ``only``, a short list of wanted ``piece`` keys, is broadcast to drop all
+    other pieces where the blocks are read.
     """
     valid = blocks.where(
         (F.col("ip_from") >= 0) & (F.col("ip_to") < 2**32) & (F.col("ip_from") <= F.col("ip_to"))
@@ -85,33 +88,40 @@ def block_pieces(blocks: DataFrame) -> DataFrame:
         (-F.col("ip_from")).alias("start"),
         *_ATTRIBUTES,
     )
-    # Copies of a range collapse before it is cut up.
-    ranges = valid.groupBy("ip_from", "ip_to").agg(F.max(hit).alias("hit"))
-    return (
-        _runs(ranges)
-        .selectExpr("explode(sequence(first, end - 1)) as piece", "hit")
-        .groupBy("piece")
-        .agg(F.max("hit").alias("hit"))
-    )
-
-
-def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame:
+    if only is None:
+        # Copies of a range collapse before it is cut up.
+        ranges = valid.groupBy("ip_from", "ip_to").agg(F.max(hit).alias("hit"))
+    else:
+        ranges = valid.select("ip_from", "ip_to", hit.alias("hit"))
+    pieces = _runs(ranges).selectExpr("explode(sequence(first, end - 1)) as piece", "hit")
+    if only is not None:
+        pieces = pieces.join(F.broadcast(only), "piece", "left_semi")
+    return pieces.groupBy("piece").agg(F.max("hit").alias("hit"))
+
+
+def locate(
+    rows: DataFrame, blocks: DataFrame, address: str = "ip", most: int | None = None
+) -> DataFrame:
     """Add ``found, country, city, latitude, longitude`` of ``address`` to rows.
 
     Addresses in no block, empty or malformed get the not-found values; a null
     attribute of a matching block stays null. Rows of one address meet in one
-    task: their number must be bounded.
+    task: their number must be bounded. ``most`` is a proven upper bound on the
+    number of all rows, if one is known.
     """
     kept = rows.columns
-    value = ip_to_long(address)
     # Malformed addresses get /16 numbers no block has, spread over many tasks.
     nowhere = F.expr(f"-1L - pmod(xxhash64(`{address}`), {2**31}L)")
-    wanted = rows.select(
+    wanted = rows.withColumn("_value", ip_to_long(address)).select(
         F.struct(*kept).alias("row"),
-        F.coalesce(F.shiftright(value, 16), nowhere).alias("block"),
-        F.coalesce(value, F.lit(-1)).alias("at"),
+        F.coalesce(F.shiftright("_value", 16), nowhere).alias("block"),
+        F.coalesce("_value", F.lit(-1)).alias("at"),
     )
-    pieces = block_pieces(blocks).selectExpr(
+    only = None
+    if most is not None and most <= BROADCAST_ROWS:
+        keys = ", ".join(_piece(n, f"shiftright(at, {32 - n})") for n in _LEVELS)
+        only = wanted.where("at >= 0").selectExpr(f"explode(array({keys})) as piece")
+    pieces = block_pieces(blocks, only).selectExpr(
         "cast(shiftright(piece, 32) as int) as level", "piece", "hit"
     )
     starts = F.expr("shiftleft(piece & 4294967295L, 32 - level)")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import epoch_second, wall_clock
-from wiretally.operators.geo import locate
+from wiretally.operators.geo import geo_lookup, locate
 from wiretally.schema import ROLES
 
 # Longest host list sent to every executor: a few megabytes of address text.
@@ -126,7 +126,8 @@ def host_profile(
     hosts = hosts.select("capture", "listed_as", "rank", "ip").where(
         F.col("capture").isNotNull()
     )
-    return profile_rows(role_protocol_totals(packets, hosts, most), locate(hosts, blocks))
+    located = locate(hosts, blocks, most=most)
+    return profile_rows(role_protocol_totals(packets, hosts, most), located)
 
 
 def host_peer_countries(
@@ -136,8 +137,14 @@ def host_peer_countries(
     peers = _listed(
         role_rows(packets), hosts, most, ["peer"], F.count("*").alias("packets")
     )
-    return (
-        locate(peers, blocks, "peer")
-        .groupBy("capture", "ip", "role", "country")
-        .agg(F.sum("packets").alias("rate"))
+    if most is not None:
+        # Every row of a peer names another host and role of the list.
+        located = locate(peers, blocks, "peer")
+    else:
+        places = geo_lookup(peers.select(F.col("peer").alias("ip")), blocks)
+        located = peers.join(
+            places.select(F.col("ip").alias("peer"), "country"), "peer", "left"
+        )
+    return located.groupBy("capture", "ip", "role", "country").agg(
+        F.sum("packets").alias("rate")
     )

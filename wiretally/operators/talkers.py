@@ -31,21 +31,23 @@ def top_hosts(
     return top_k(totals(packets, role), k)
 
 
-def role_counts(pairs: DataFrame) -> DataFrame:
-    """``(capture, role, ip, n)`` for both roles, from pair counts."""
+def role_counts(traffic: DataFrame) -> DataFrame:
+    """``(capture, role, ip, n)`` for both roles, from packets or from pair counts."""
+    n = F.sum("n") if "n" in traffic.columns else F.count("*")
+    weight = ["n"] if "n" in traffic.columns else []
     ends = F.array(
         *[F.struct(F.lit(r).alias("role"), F.col(r).alias("ip")) for r in ROLES]
     )
     return (
-        pairs.select("capture", "n", F.explode(ends).alias("end"))
+        traffic.select("capture", *weight, F.explode(ends).alias("end"))
         .groupBy("capture", "end.role", "end.ip")
-        .agg(F.sum("n").alias("n"))
+        .agg(n.alias("n"))
     )
 
 
-def top_hosts_by_role(pairs: DataFrame, k: int = TOP_HOSTS) -> DataFrame:
+def top_hosts_by_role(traffic: DataFrame, k: int = TOP_HOSTS) -> DataFrame:
     """``(capture, listed_as, rank, ip, n)``: both busiest-host lists at once."""
-    return top_k(role_counts(pairs), k, by=("capture", "role")).select(
+    return top_k(role_counts(traffic), k, by=("capture", "role")).select(
         "capture", F.col("role").alias("listed_as"), "rank", "ip", "n"
     )
 

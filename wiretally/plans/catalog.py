@@ -33,7 +33,7 @@ def _on_both(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _busiest(p: DataFrame) -> DataFrame:
-    return talkers.top_hosts_by_role(pairs.pair_counts(p))
+    return talkers.top_hosts_by_role(p)
 
 
 def _top(role: str, metric: str) -> Query:

@@ -57,7 +57,7 @@ def report_document(
     sections = [
         _series(seconds, part_size),
         _summary(seconds),
-        _behaviour(totals, listed, blocks, zone, part_size),
+        _behaviour(totals, listed, blocks, most, zone, part_size),
         _pairs(pairs.top_pairs_of(counts, pairs_k), part_size),
         _locations(counts, blocks, part_size),
     ]
@@ -118,9 +118,15 @@ def _profile_block(role: str, bytes_name: str, zone: str) -> Column:
 
 
 def _behaviour(
-    totals: DataFrame, listed: DataFrame, blocks: DataFrame, zone: str, part_size: int
+    totals: DataFrame,
+    listed: DataFrame,
+    blocks: DataFrame,
+    most: int,
+    zone: str,
+    part_size: int,
 ) -> DataFrame:
-    profiles = hosts.profile_rows(totals, geo.locate(listed.drop("n"), blocks))
+    located = geo.locate(listed.drop("n"), blocks, most=most)
+    profiles = hosts.profile_rows(totals, located)
     # A host's protocol names are bounded by what the dissector knows.
     protocols = totals.groupBy("capture", "ip", "role").agg(
         F.expr(
