@@ -33,7 +33,7 @@ def scaled(n: Column, highest: Column, spread: Column) -> Column:
 
 
 def scale_pairs(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Add ``value``. ``ranges`` has one row per capture label, hence the broadcast.
+    """Add ``value`` from the range of each pair's capture.
 
     The null-safe comparison puts no filter on either side, so that ``pairs``
     and a range computed from it keep sharing one aggregation.
@@ -42,7 +42,7 @@ def scale_pairs(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     value = scaled(F.col("n"), F.col("highest"), F.col("spread"))
     return (
         pairs.alias("p")
-        .join(F.broadcast(ranges).alias("r"), same)
+        .join(ranges.alias("r"), same)
         .select("p.*", value.alias("value"))
     )
 
