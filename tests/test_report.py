@@ -166,3 +166,10 @@ def test_captures_may_be_missing(spark, blocks):
     assert row["AveragePacketRate"]["normal_Y"] == [] and row["Map"]["normalDS"] == []
     assert row["ProtocolDistribution"]["normal"]["x"] == 0
     assert len(row["Map"]["attackDS"]) == 3
+
+
+def test_empty_captures_give_an_empty_report(spark, blocks):
+    row = report_document(capture(spark, "no packets here\n"), blocks).first()
+    assert row["AveragePacketRate"]["attack_Average"] is None
+    assert row["AveragePacketData"]["attack_Y"] == row["Map"]["geoData"] == []
+    assert row["BehaviorOfTopIP"]["attackBehaviorOfSource"] == []

@@ -153,7 +153,7 @@ QUERIES: dict[str, Query] = {
     "geo_city": _attribute("city"),
     "geo_location": _attribute("latitude", "longitude"),
     "geo_map": _on_both(geo.geo_map),
-    # intended by the reference, empty there
+    # hours, peer countries and top countries
     "host_hours": _on_packets(lambda p: hosts.host_hours(p, _busiest(p), LISTED)),
     "host_peer_countries": _on_both(
         lambda p, g: hosts.host_peer_countries(p, _busiest(p), g, LISTED)
