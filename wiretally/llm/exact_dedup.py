@@ -65,7 +65,7 @@ def _winners(digests: DataFrame, tracked: int, heavy: int) -> DataFrame:
     )
     frequent = (
         # One group, not none: a task without sketches then adds nothing.
-        sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+        sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("f"))
         .select(F.col("f.item").alias("text_sha256"))
     )
