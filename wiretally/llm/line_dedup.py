@@ -220,7 +220,8 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     there, is counted anew where lines went.
     """
     lines = staged(repeated_run_lines(docs, min_words), "deleted-lines")
-    rows = _keyed(docs).join(lines, KEYS, "left")
+    # Documents with deleted lines grow with the corpus: they are never broadcast.
+    rows = _keyed(docs).join(lines.hint("merge"), KEYS, "left")
     kept = F.expr(
         "array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(lines, i)), '\n')"
     )
