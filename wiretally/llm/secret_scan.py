@@ -42,7 +42,7 @@ NEEDED = 1.4
 LEAST_VALUE = 8
 # Values that stand for a secret without being one.
 _PLACEHOLDER = re.compile(
-    r"(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\}|(?:your|my|some|the)?[-_ ]?"
+    r"(?:(?:your|my|some|insert|enter)[-_ ].*|x+|\*+|\.+|-+|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\}|(?:your|my|some|the)?[-_ ]?"
     r"(?:example|sample|dummy|test|changeme|placeholder|todo|none|null|true|false).*)",
     re.IGNORECASE | re.DOTALL,
 )
