@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from wiretally.operators import geo, hosts, pairs, rates, talkers
+from wiretally.plans.catalog import QUERIES
 from wiretally.sources.packets import write_packets
 from wiretally.sources.tables import geo_view, packets_view
 
@@ -25,15 +25,15 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_pairwise_joins(spark, name):
-    plan = planned(contract.queries()[name](spark, SF_DIR))
+    plan = planned(QUERIES[name](spark, SF_DIR))
     for forbidden in ("Python", "Pandas", "NestedLoop", "Cartesian", "ExistingRDD", "SinglePartition"):
         assert forbidden not in plan or (forbidden == "SinglePartition" and name in REPORTS)
 
 
 # The report's rate summary is one row over a pre-aggregated table.
-REPORTS = {"report_document", "report_values"}
+REPORTS = {"report_values"}
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10485760"])
