@@ -85,5 +85,5 @@ def test_unused_aggregates_and_columns_are_dropped(packets):
 
 
 def test_ranking_keeps_k_rows_per_partition(packets):
-    assert planned(talkers.top_hosts(packets, "src")).count("WindowGroupLimit") == 2
+    assert planned(talkers.top_hosts(packets, "src")).count("WindowGroupLimit") == 4
     assert planned(pairs.top_pairs(packets)).count("WindowGroupLimit") == 4

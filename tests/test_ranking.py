@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import rows
-from wiretally.operators.ranking import MERGE_FROM, dense_index, top_k
+from wiretally.operators.ranking import GROUP_LIMIT, dense_index, top_k
 
 
-@pytest.mark.parametrize("k", [1, 10, MERGE_FROM, 1500, 10_000])
+@pytest.mark.parametrize("k", [1, 10, 256, 1500, 10_000])
 def test_top_k_over_many_partitions(spark, k):
     rng = random.Random(k)
     data = [(g, f"h{i:05d}", rng.randrange(50)) for g in ("a", "b") for i in range(4000)]
@@ -21,8 +21,11 @@ def test_top_k_over_many_partitions(spark, k):
 
 def test_top_k_forwards_k_rows_per_partition(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, 'a', 'b') capture", "id ip", "id % 7 n")
+    before = spark.conf.get(GROUP_LIMIT)
     plan = top_k(df.repartition(8), 2000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 4  # partial and final, twice
+    top_k(df, 10_000)
+    assert spark.conf.get(GROUP_LIMIT) == before
     with pytest.raises(ValueError):
         top_k(df, 0)
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from wiretally.operators.ranking import GROUP_LIMIT
 from wiretally.plans.report import report_document
 from wiretally.schema import TOP_HOSTS, TOP_PAIRS
 from wiretally.sinks import write_document
@@ -35,7 +36,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--drop-blank-ip", action="store_true")
     args = parser.parse_args(argv)
 
-    spark = SparkSession.builder.appName("wiretally").getOrCreate()
+    # Each input partition then forwards no more pairs than a list has.
+    limit = str(max(1000, args.hosts, args.pairs))
+    spark = SparkSession.builder.appName("wiretally").config(GROUP_LIMIT, limit).getOrCreate()
     paths = {"normal": args.normal, "attack": args.attack}
     packets = read_captures(spark, paths, args.drop_blank_ip)
     if args.packets:

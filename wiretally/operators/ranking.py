@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark keeps only k rows per input partition before the ranking shuffle when k
-# is at most this setting; above it every row would be shuffled.
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-# From this k on, the per-partition winners are merged in two steps.
-MERGE_FROM = 256
-MERGE_TASKS = 64
+# Up to this k Spark keeps only k rows per input partition before the ranking shuffle. A job
+# that ranks more sets it where it builds its session; nothing here changes a session.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_k(
@@ -26,16 +23,13 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` rows of highest ``metric`` per group, with a ``rank`` from 1.
 
-    ``ties`` (ascending) must make the order total. Each input partition
-    forwards at most ``k`` rows per group; for a large ``k`` these go through
-    ``MERGE_TASKS`` intermediate tasks, so that the last one sees a number of
-    rows that does not depend on the number of partitions.
+    ``ties`` (ascending) must make the order total. The rows that input
+    partitions forward meet in about as many intermediate tasks as the square root of
+    the session's shuffle partitions, and their winners in one task per group.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    conf = df.sparkSession.conf
-    if int(conf.get(_GROUP_LIMIT, "1000")) < k:
-        conf.set(_GROUP_LIMIT, str(k))
+    tasks = max(2, isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     order = [F.col(metric).desc(), *[F.col(c).asc() for c in ties]]
 
@@ -44,10 +38,9 @@ def top_k(
         number = F.row_number().over(window)
         return rows.withColumn("rank", number).where(F.col("rank") <= k)
 
-    if k >= MERGE_FROM:
-        # Any split of the rows into groups leaves the overall winners unchanged.
-        df = df.withColumn("_merge", F.spark_partition_id() % MERGE_TASKS)
-        df = ranked(df, "_merge").drop("_merge", "rank")
+    # Any split of the rows into groups leaves the overall winners unchanged.
+    df = df.withColumn("_merge", F.spark_partition_id() % tasks)
+    df = ranked(df, "_merge").drop("_merge", "rank")
     return ranked(df).withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder of its own and
-    a cluster gets none, since its executors share no local path.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="wiretally-")
-    return None
+    """The folder named in ``spark.checkpoint.dir``, if any, on a cluster and locally alike."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def stage(df: DataFrame, folder: str | None, name: str) -> DataFrame:
     """Write ``df`` once under ``folder`` and read it back.
 
     The copy outlives executors, and later uses start from it instead of the
-    packets. Without a folder ``df`` is returned and each use recomputes it.
+    packets. Without a folder ``df`` is persisted, and what a lost executor held
+    is computed again.
     """
     if folder is None:
-        return df
+        return df.persist()
     path = f"{folder}/wiretally-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
