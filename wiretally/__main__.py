@@ -14,9 +14,14 @@ from pyspark.sql import SparkSession
 from wiretally.operators.ranking import GROUP_LIMIT
 from wiretally.plans.report import report_document
 from wiretally.schema import TOP_HOSTS, TOP_PAIRS
-from wiretally.sinks import write_document
-from wiretally.sources.geo import read_geo_blocks, read_network_locations
-from wiretally.sources.packets import read_captures, write_packets
+from wiretally.sinks import write_document, write_table
+from wiretally.sources.geo import (
+    count_block_rejects,
+    read_block_table,
+    read_geo_blocks,
+    read_network_locations,
+)
+from wiretally.sources.packets import count_capture_rejects, read_captures, write_packets
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -29,6 +34,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--report", required=True, help="folder the report is appended to")
     parser.add_argument("--report-format", default="json")
     parser.add_argument("--packets", help="keep the typed packets here and read them back")
+    parser.add_argument("--rejects", help="folder for counts of unusable lines and blocks")
     parser.add_argument("--run-id")
     parser.add_argument("--hosts", type=int, default=TOP_HOSTS, help="hosts per list")
     parser.add_argument("--pairs", type=int, default=TOP_PAIRS, help="pairs per list")
@@ -47,6 +53,11 @@ def main(argv: Sequence[str] | None = None) -> None:
         blocks = read_network_locations(spark, args.blocks, args.locations)
     else:
         blocks = read_geo_blocks(spark, args.blocks, args.blocks_format)
+    if args.rejects:
+        write_table(count_capture_rejects(spark, paths), f"{args.rejects}/packets")
+        fmt = "csv" if args.locations else args.blocks_format
+        table = read_block_table(spark, args.blocks, fmt)
+        write_table(count_block_rejects(table), f"{args.rejects}/blocks")
     report = report_document(
         packets, blocks, args.run_id, args.hosts, args.pairs, args.zone
     )

@@ -12,8 +12,22 @@ from wiretally.operators import geo, hosts, pairs, rates, talkers
 from wiretally.plans.flatten import report_values
 from wiretally.plans.report import report_document
 from wiretally.schema import CAPTURES, TOP_HOSTS
-from wiretally.sources.packets import conform, count_rejects, parse_lines, union_captures
-from wiretally.sources.tables import geo_view, packet_lines_view, packets_view
+from wiretally.sources.geo import conform_blocks, count_block_rejects
+from wiretally.sources.packets import (
+    conform,
+    count_rejects,
+    count_typed_rejects,
+    parse_lines,
+    union_captures,
+)
+from wiretally.sources.tables import (
+    geo_view,
+    networks_view,
+    packet_lines_view,
+    packets_view,
+    rough_packets,
+    rough_ranges,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,7 +115,12 @@ QUERIES: dict[str, Query] = {
     "packets_parse": _parse,
     "packets_rejects": lambda spark, sf: count_rejects(packet_lines_view(spark, sf)),
     "capture_union": _on_packets(_union),
-    "geo_blocks": geo_view,
+    "typed_rejects": _on_packets(lambda p: count_typed_rejects(rough_packets(p))),
+    "geo_blocks": lambda spark, sf: conform_blocks(geo_view(spark, sf)),
+    "geo_networks": lambda spark, sf: conform_blocks(networks_view(spark, sf)),
+    "block_rejects": lambda spark, sf: union_captures(
+        [count_block_rejects(t(spark, sf)) for t in (networks_view, rough_ranges)]
+    ),
     # projections, filters, scalar functions
     "project_endpoints": _on_packets(lambda p: p.select("src", "dst")),
     "filter_src": _on_packets(lambda p: p.where(F.col("src") == FILTER_SRC)),

@@ -309,7 +309,20 @@ GROUP BY reason""",
             f"SELECT {ALL_COLUMNS} FROM packets WHERE capture = '{c}'" for c in CAPTURES
         )
     ),
+    "typed_rejects": _packets(
+        "SELECT CASE WHEN data_length % 7 = 0 THEN 'data_length' ELSE 'arrival_time' END AS reason,"
+        " count(*) AS n FROM packets WHERE data_length % 7 = 0 OR data_length % 5 = 0 GROUP BY 1"
+    ),
     "geo_blocks": _with(BLOCKS) + "SELECT * FROM blocks",
+    "geo_networks": _with(BLOCKS)
+    + """SELECT ip_from // (1 << (32 - prefix_len)) * (1 << (32 - prefix_len)) AS ip_from,
+ip_from // (1 << (32 - prefix_len)) * (1 << (32 - prefix_len)) + (1 << (32 - prefix_len)) - 1 AS ip_to,
+prefix_len, country, city, latitude, longitude FROM blocks
+WHERE latitude IS NOT NULL AND ip_from - 167772160 < 256""",
+    "block_rejects": _with(BLOCKS)
+    + """SELECT 'network' AS reason, count(*) AS n FROM blocks
+WHERE latitude IS NULL OR ip_from - 167772160 >= 256
+UNION ALL SELECT 'range', count(*) FROM blocks WHERE ip_from % 3 = 0""",
     "project_endpoints": _packets("SELECT src, dst FROM packets"),
     "filter_src": _packets(f"SELECT {ALL_COLUMNS} FROM packets WHERE src = '{FILTER_SRC}'"),
     "filter_dst": _packets(f"SELECT {ALL_COLUMNS} FROM packets WHERE dst = '{FILTER_DST}'"),

@@ -9,27 +9,50 @@ from wiretally.functions.columns import ip_to_long
 from wiretally.schema import GEO_SCHEMA
 
 
-def blocks_from_cidr(table: DataFrame, network: str = "network") -> DataFrame:
-    """Replace a CIDR column by ``ip_from``, ``ip_to`` and ``prefix_len``.
-
-    Rows whose network is not IPv4 CIDR text are left out.
-    """
+def _bounds_from_cidr(table: DataFrame, network: str) -> DataFrame:
+    """Every row with ``ip_from``, ``ip_to``, ``prefix_len``; null bounds if no IPv4 CIDR."""
     parts = F.split(network, "/")
+    length = F.get(parts, F.lit(1)).try_cast("int")
     named = table.withColumn("_base", F.get(parts, F.lit(0))).withColumn(
-        "prefix_len", F.get(parts, F.lit(1)).try_cast("int")
+        "prefix_len", F.when((F.size(parts) == 2) & length.between(0, 32), length)
     )
-    size = F.expr("shiftleft(1L, 32 - prefix_len)")
     base = ip_to_long("_base")
     return (
-        named.where((F.size(parts) == 2) & F.col("prefix_len").between(0, 32))
-        .withColumn("_size", size)
+        named.withColumn("_size", F.expr("shiftleft(1L, 32 - prefix_len)"))
         .withColumn("ip_from", base - base % F.col("_size"))
         .withColumn("ip_to", F.col("ip_from") + F.col("_size") - 1)
-        .where(F.col("ip_from").isNotNull())
         .drop("_base", "_size")
     )
 
 
+def blocks_from_cidr(table: DataFrame, network: str = "network") -> DataFrame:
+    """Replace a CIDR column by ``ip_from``, ``ip_to`` and ``prefix_len``.
+
+    Rows whose network is not IPv4 CIDR text are left out; ``count_block_rejects``
+    counts them.
+    """
+    return _bounds_from_cidr(table, network).where(F.col("ip_from").isNotNull())
+
+
+def count_block_rejects(table: DataFrame) -> DataFrame:
+    """``(reason, n)`` for the rows of a block table that locate nothing.
+
+    ``network`` is text other than IPv4 CIDR, ``range`` a missing or reversed
+    range or one outside IPv4.
+    """
+    if "ip_from" in table.columns:
+        low, high = (F.col(c).try_cast("bigint") for c in ("ip_from", "ip_to"))
+        usable, reason = (low >= 0) & (high < 2**32) & (low <= high), "range"
+    else:
+        table = _bounds_from_cidr(table, "network")
+        usable, reason = F.col("ip_from").isNotNull(), "network"
+    return (
+        table.where(~F.coalesce(usable, F.lit(False)))
+        .groupBy(F.lit(reason).alias("reason"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def conform_blocks(table: DataFrame) -> DataFrame:
     """Fit a block table to the geo schema; missing or unreadable values
     become null.
@@ -51,12 +74,17 @@ def conform_blocks(table: DataFrame) -> DataFrame:
     return table.select(*columns)
 
 
-def read_geo_blocks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Block table from Parquet, or from CSV with a header."""
+def read_block_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A block table as it is, from Parquet or from CSV with a header."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return conform_blocks(reader.load(path))
+    return reader.load(path)
+
+
+def read_geo_blocks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Block table from Parquet, or from CSV with a header."""
+    return conform_blocks(read_block_table(spark, path, fmt))
 
 
 def read_network_locations(

@@ -61,16 +61,30 @@ def parse_lines(lines: DataFrame, capture: str, drop_blank_ip: bool = False) ->
     return packets
 
 
-def count_rejects(lines: DataFrame) -> DataFrame:
-    """``(reason, n)`` for the lines ``parse_lines`` leaves out."""
+def _by_reason(rows: DataFrame) -> DataFrame:
     return (
-        _typed(lines)
-        .where(F.col("reject").isNotNull())
+        rows.where(F.col("reject").isNotNull())
         .groupBy(F.col("reject").alias("reason"))
         .agg(F.count("*").alias("n"))
     )
 
 
+def count_rejects(lines: DataFrame) -> DataFrame:
+    """``(reason, n)`` for the lines ``parse_lines`` leaves out."""
+    return _by_reason(_typed(lines))
+
+
+def count_capture_rejects(
+    spark: SparkSession, paths: Mapping[str, str | list[str]]
+) -> DataFrame:
+    """``(capture, reason, n)`` for the lines ``read_captures`` leaves out."""
+    counts = [
+        count_rejects(spark.read.text(path)).select(F.lit(name).alias("capture"), "reason", "n")
+        for name, path in paths.items()
+    ]
+    return union_captures(counts)
+
+
 def read_packets(
     spark: SparkSession, path: str | list[str], capture: str, drop_blank_ip: bool = False
 ) -> DataFrame:
@@ -93,18 +107,29 @@ def union_captures(captures: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, captures)
 
 
-def conform(packets: DataFrame) -> DataFrame:
-    """Fit an already typed table to the packet schema; null addresses become blank."""
+def _fitted(packets: DataFrame) -> DataFrame:
+    """The packet schema's columns; ``reject`` says why a row can't be used."""
     columns = []
     for field in PACKET_SCHEMA.fields:
-        column = F.col(field.name).cast(field.dataType)
+        column = F.col(field.name).try_cast(field.dataType)
         if field.name in ("src", "dst"):
             column = F.coalesce(column, F.lit(""))
         columns.append(column.alias(field.name))
-    return packets.select(*columns).where(
-        F.col("data_length").isNotNull()
-        & F.col("arrival_time").between(MIN_SECOND, MAX_SECOND)
+    in_time = F.col("arrival_time").between(MIN_SECOND, MAX_SECOND)
+    reason = F.when(F.col("data_length").isNull(), "data_length").when(
+        ~F.coalesce(in_time, F.lit(False)), "arrival_time"
     )
+    return packets.select(*columns).withColumn("reject", reason)
+
+
+def conform(packets: DataFrame) -> DataFrame:
+    """Fit an already typed table to the packet schema; null addresses become blank."""
+    return _fitted(packets).where(F.col("reject").isNull()).drop("reject")
+
+
+def count_typed_rejects(packets: DataFrame) -> DataFrame:
+    """``(reason, n)`` for the rows ``conform`` leaves out."""
+    return _by_reason(_fitted(packets))
 
 
 def write_packets(packets: DataFrame, path: str) -> DataFrame:

@@ -89,3 +89,34 @@ def geo_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("r_regionkey * 4D + 0.25D").alias("longitude"),
     )
     return narrow.unionByName(wide).select(*GEO_SCHEMA.fieldNames())
+
+
+def rough_packets(packets: DataFrame) -> DataFrame:
+    """The packets with some lengths missing and some times past the year 9999."""
+    return packets.withColumn(
+        "arrival_time", F.expr("if(data_length % 5 = 0, 1e15D, arrival_time)")
+    ).withColumn("data_length", F.expr("if(data_length % 7 = 0, null, data_length)"))
+
+
+def networks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks by CIDR text; those without latitude are IPv6, the wider ones no address."""
+    offset = F.col("ip_from") - FIRST_ADDRESS
+    network = F.when(F.col("latitude").isNull(), F.lit("2001:db8::")).otherwise(
+        F.concat(F.lit("10.0.0."), offset.cast("string"))
+    )
+    return geo_view(spark, sf_dir).select(
+        F.concat_ws("/", network, "prefix_len").alias("network"),
+        "country",
+        "city",
+        "latitude",
+        "longitude",
+    )
+
+
+def rough_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks by bounds, some of them reversed."""
+    turned = "ip_from % 3 = 0"
+    return geo_view(spark, sf_dir).select(
+        F.expr(f"if({turned}, ip_to, ip_from)").alias("ip_from"),
+        F.expr(f"if({turned}, ip_from, ip_to)").alias("ip_to"),
+    )
