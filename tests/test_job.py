@@ -19,12 +19,12 @@ def test_whole_job_from_files(spark, tmp_path):
         "--packets", str(tmp_path / "packets"),
         "--report", str(tmp_path / "reports"),
     ]
-    main([*arguments, "--run-id", "first"])
+    main([*arguments, "--run-id", "first", "--tables", str(tmp_path / "tables")])
     main([*arguments, "--run-id", "second", "--hosts", "1", "--pairs", "1"])
 
     stored = {
         document["run_id"]: document
-        for path in (tmp_path / "reports").glob("*.json")
+        for path in (tmp_path / "reports" / "header").glob("*.json")
         for document in map(json.loads, path.read_text().splitlines())
     }
     assert sorted(stored) == ["first", "second"]
@@ -32,4 +32,13 @@ def test_whole_job_from_files(spark, tmp_path):
     assert len(stored["second"]["Map"]["attackDS"]) == 1
     (host,) = stored["second"]["BehaviorOfTopIP"]["attackBehaviorOfSource"]
     assert (host["IP"], host["Source"]["Country"]["name"]) == ("10.0.0.1", "Land")
-    assert len(stored["first"]["Map"]["geoData"]) == 5
+    for name, n in (("series", 4), ("locations", 5), ("protocols", 12)):
+        kept = spark.read.json(str(tmp_path / "reports" / name)).where("run_id = 'first'")
+        assert kept.count() == n
+    tables = {
+        path.name: spark.read.parquet(str(path)).count() for path in (tmp_path / "tables").iterdir()
+    }
+    assert tables == {
+        "top_src_packets": 4, "top_src_bytes": 4, "top_dst_packets": 3, "top_dst_bytes": 3,
+        "rates": 4, "pairs": 4, "victims": 3, "map": 5,
+    }

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiretally.operators import geo, hosts, pairs, rates, talkers
+from wiretally.plans import report
 from wiretally.plans.catalog import QUERIES
+from wiretally.sinks import stage
 from wiretally.sources.packets import write_packets
 from wiretally.sources.tables import geo_view, packets_view
 
@@ -39,7 +41,7 @@ REPORTS = {"report_values"}
 @pytest.mark.parametrize("threshold", ["-1", "10485760"])
 @pytest.mark.parametrize(
     "name, scans",
-    [("packets_per_second", 1), ("top_pairs", 1), ("top_countries", 1), ("geo_map", 1), ("host_profile", 2)],
+    [("packets_per_second", 1), ("top_pairs", 1), ("top_countries", 1), ("geo_map", 1), ("host_profile", 1)],
 )
 def test_packets_are_scanned_once_per_pass(spark, packets, threshold, name, scans):
     blocks = geo_view(spark, SF_DIR)
@@ -49,7 +51,7 @@ def test_packets_are_scanned_once_per_pass(spark, packets, threshold, name, scan
         "top_pairs": lambda: pairs.top_pairs(packets),
         "top_countries": lambda: geo.top_countries(packets, blocks),
         "geo_map": lambda: geo.geo_map(packets, blocks),
-        "host_profile": lambda: hosts.host_profile(packets, listed, blocks, 20),
+        "host_profile": lambda: hosts.host_profile(packets, listed, blocks),
     }
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
@@ -57,21 +59,46 @@ def test_packets_are_scanned_once_per_pass(spark, packets, threshold, name, scan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scanned = [line for line in plan.splitlines() if "FileScan" in line and "r_name" not in line]
-    assert len([line for line in scanned if "n_name" not in line]) == scans
+    # The host list was made and staged in a pass of its own.
+    own = [line for line in scanned if "n_name" not in line and "ip#" not in line]
+    assert len(own) == scans
 
 
 def test_listed_hosts_are_filtered_before_the_shuffle(spark, packets):
-    listed = talkers.top_hosts(packets, "src")
-    plan = planned(hosts.host_packets(packets, listed, 20))
+    plan = planned(hosts.host_packets(packets, talkers.top_hosts(packets, "src")))
     join, exchange = plan.index("LeftSemi"), plan.index("Exchange hashpartitioning")
     assert exchange < join  # printed top down: the join lies below the shuffle
-    # A list of unknown length, too long to send around, meets the aggregate.
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "BroadcastHashJoin" in plan
+
+
+def test_long_host_list_is_not_broadcast(spark, packets):
+    long = spark.range(1_000_000).select(
+        F.lit("normal").alias("capture"), F.md5(F.col("id").cast("string")).alias("ip")
+    )
+    plan = planned(hosts.host_packets(packets, long))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_report_reads_packets_once_for_each_staged_table(spark, packets, monkeypatch):
+    staged = {}
+
+    def keep(df, folder, name):
+        staged[name] = planned(df)
+        return stage(df, folder, name)
+
+    for module in (report, hosts):
+        monkeypatch.setattr(module, "stage", keep)
+    # Paths of scans in full.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     try:
-        late = planned(hosts.host_packets(packets, listed, None))
+        built = report.build_report(packets, geo_view(spark, SF_DIR), "r")
+        tables = [planned(rows) for rows in built]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert late.index("LeftSemi") < late.index("partial_count")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    source = packets.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
+    reads = {n: p.count(f"file:{source}") for n, p in staged.items()}
+    assert reads == {"hosts": 0, "pairs": 1, "places": 0, "seconds": 1, "totals": 1}
+    assert not any(source in plan for plan in tables)
 
 
 def test_aggregates_combine_before_the_shuffle(packets):

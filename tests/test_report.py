@@ -1,17 +1,15 @@
-"""The nested report: shape, contents, parts and sinks."""
+"""The report: header, tables and sinks."""
 
 import json
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import SMALL_CAPTURE, capture, rows
-from tests.test_geo import cidr, text
-from wiretally.plans.flatten import report_values
-from wiretally.plans.report import report_document
+from tests.test_geo import cidr
+from wiretally.plans.report import build_report
 from wiretally.schema import GEO_SCHEMA, REPORT_SCHEMA
-from wiretally.sinks import shared_folder, stage, write_document, write_table
+from wiretally.sinks import shared_folder, stage, write_report, write_table
 from wiretally.sources.packets import union_captures
 
 
@@ -30,32 +28,26 @@ def packets(spark):
 
 @pytest.fixture(scope="module")
 def report(packets, blocks):
-    return report_document(packets, blocks, run_id="r1")
+    return build_report(packets, blocks, run_id="r1")
 
 
 def test_document_shape(report):
-    assert [f.name for f in report.schema] == REPORT_SCHEMA.fieldNames()
-    assert [f.dataType.simpleString() for f in report.schema] == [
+    header = report.header
+    assert [f.name for f in header.schema] == REPORT_SCHEMA.fieldNames()
+    assert [f.dataType.simpleString() for f in header.schema] == [
         f.dataType.simpleString() for f in REPORT_SCHEMA
     ]
-    assert report.count() == 1
+    assert header.count() == 1
 
 
 def test_document_contents(report):
-    document = json.loads(report.select(F.to_json(F.struct("*"))).first()[0])
-    assert (document["run_id"], document["part"], document["user"]) == ("r1", 0, "NA")
+    document = json.loads(report.header.select(F.to_json(F.struct("*"))).first()[0])
+    assert (document["run_id"], document["user"]) == ("r1", "NA")
     assert document["AveragePacketRate"] == {
-        "normal_X": [0], "attack_X": [0, 1, 2],
         "normal_Average": 1.0, "attack_Average": 2.0,
         "normal_min": 1, "attack_min": 2, "normal_max": 1, "attack_max": 2,
-        "normal_Y": [1], "attack_Y": [2, 2, 2],
     }
-    assert document["AveragePacketData"]["attack_Y"] == [120, 100, 158]
     assert document["AveragePacketData"]["attack_Average"] == 126.0
-    assert document["AverageProtocolRate"]["attack"] == {
-        "HTTP": [0, 0, 0], "TCP": [0, 1, 0], "ICMP": [2, 0, 1], "UDP": [0, 1, 0],
-        "others": [0, 0, 1], "X": [0, 1, 2],
-    }
     # Protocols that do not occur are absent and not counted.
     assert document["ProtocolDistribution"] == {
         "normal": {"TCP": 1, "x": 1},
@@ -73,29 +65,20 @@ def test_document_contents(report):
         "Source": {
             "PacketNumber": 3, "sendData": 160,
             "FirstConnection": "01-01-1970 00:01:40", "LastConnection": "01-01-1970 00:01:41",
-            "Protocols": [{"Name": "ICMP", "rate": 2}, {"Name": "TCP", "rate": 1}],
-            "Country": {"name": "Here"},
+            "Country": {"name": "Here"}, "Hours": [{"Hour": 0, "rate": 3}],
         },
         "Destination": {
             "PacketNumber": 1, "receiveData": 88,
             "FirstConnection": "01-01-1970 00:01:43", "LastConnection": "01-01-1970 00:01:43",
-            "Protocols": [{"Name": "ICMP", "rate": 1}],
-            "Country": {"name": "Here"},
+            "Country": {"name": "Here"}, "Hours": [{"Hour": 0, "rate": 1}],
         },
     }
     # A host never seen as a destination.
     assert second["Destination"] == {
-        "PacketNumber": 0, "receiveData": 0, "Protocols": [], "Country": {"name": "Here"},
+        "PacketNumber": 0, "receiveData": 0, "Country": {"name": "Here"}, "Hours": [],
     }
     assert third["Source"]["Country"] == {}
     assert document["Map"] == {
-        "geoData": [
-            {"ip": "10.0.0.1", "longitude": 2.0, "latitude": 1.0},
-            {"ip": "10.0.0.2", "longitude": 2.0, "latitude": 1.0},
-            {"ip": "10.0.0.5", "longitude": 0.0, "latitude": 0.0},
-            {"ip": "10.0.0.6", "longitude": 0.0, "latitude": 0.0},
-            {"ip": "10.0.0.9", "longitude": -3.0},
-        ],
         "attackDS": [
             {"source": "10.0.0.1", "destination": "10.0.0.9", "value": 0},
             {"source": "10.0.0.2", "destination": "10.0.0.9", "value": 50},
@@ -110,42 +93,39 @@ def test_document_contents(report):
     }
 
 
-def test_parts_continue_the_arrays(spark, blocks):
-    rng = random.Random(3)
-    text_lines = "".join(
-        f"{text(167772160 + rng.randrange(90_000))},10.0.0.{rng.randrange(4)},60,"
-        f"{rng.choice(['TCP', 'DNS'])},6,{rng.randrange(10**6)}\n"
-        for _ in range(150)
-    )
-    packets = union_captures([capture(spark, text_lines, c) for c in ("normal", "attack")])
-    whole = report_document(packets, blocks, run_id="r")
-    parts = report_document(packets, blocks, run_id="r", part_size=7)
-
-    def joined(report, size):
-        values = report_values(report).collect()
-        assert (max(r["part"] for r in values) > 20) == (size == 7)
-        return sorted(
-            (
-                r["section"],
-                r["part"] * size + r["position"],
-                r["label"] or "",
-                r["number"] or 0.0,
-                r["text"] or "",
-            )
-            for r in values
-        )
-
-    assert joined(parts, 7) == joined(whole, 10_000)
-    longest = parts.select(F.max(F.size("Map.geoData")), F.max(F.size("AveragePacketRate.normal_Y")))
-    assert tuple(longest.first()) == (7, 7)
-    assert rows(parts.where("part > 0").select("AveragePacketRate.normal_Average").distinct()) == [(None,)]
-
-
-def test_document_sink_appends_and_table_sink_replaces(spark, report, tmp_path):
+def test_tables_of_the_report(report):
+    series = ["capture", "idx", "second", "packets", "bytes", "TCP", "ICMP", "others"]
+    assert rows(report.series, *series) == [
+        ("attack", 0, 100, 2, 120, 0, 2, 0),
+        ("attack", 1, 101, 2, 100, 1, 0, 0),
+        ("attack", 2, 103, 2, 158, 0, 1, 1),
+        ("normal", 0, 50, 1, 10, 1, 0, 0),
+    ]
+    places = {r["ip"]: (r["longitude"], r["latitude"]) for r in report.locations.collect()}
+    assert places == {
+        "10.0.0.1": (2.0, 1.0), "10.0.0.2": (2.0, 1.0), "10.0.0.5": (0.0, 0.0),
+        "10.0.0.6": (0.0, 0.0), "10.0.0.9": (-3.0, None),
+    }
+    of_first = report.protocols.where("ip = '10.0.0.1'")
+    assert rows(of_first, "capture", "role", "Name", "rate") == [
+        ("attack", "dst", "ICMP", 1), ("attack", "src", "ICMP", 2), ("attack", "src", "TCP", 1),
+    ]
+    assert all(set(rows(df, "run_id")) == {("r1",)} for df in report)
+
+
+def test_other_capture_names_are_an_error(spark, blocks):
+    for name in ("third", None):
+        odd = capture(spark, SMALL_CAPTURE).withColumn("capture", F.lit(name).cast("string"))
+        with pytest.raises(ValueError, match="captures"):
+            build_report(odd, blocks)
+
+
+def test_report_sink_appends_and_table_sink_replaces(spark, report, tmp_path):
     for _ in range(2):
-        write_document(report, str(tmp_path / "documents"))
-    stored = spark.read.json(str(tmp_path / "documents"))
-    assert rows(stored, "run_id", "part") == [("r1", 0), ("r1", 0)]
+        write_report(report, str(tmp_path / "documents"))
+    for name, n in (("header", 1), ("series", 4), ("locations", 5)):
+        stored = spark.read.json(str(tmp_path / "documents" / name))
+        assert rows(stored, "run_id") == [("r1",)] * 2 * n
     table = spark.range(3)
     for fmt in ("parquet", "json"):
         for _ in range(2):
@@ -161,15 +141,16 @@ def test_staged_tables_go_to_the_shared_folder(spark, tmp_path):
 
 
 def test_captures_may_be_missing(spark, blocks):
-    only = report_document(capture(spark, SMALL_CAPTURE), blocks)
-    row = only.first()
-    assert row["AveragePacketRate"]["normal_Y"] == [] and row["Map"]["normalDS"] == []
+    only = build_report(capture(spark, SMALL_CAPTURE), blocks)
+    row = only.header.first()
+    assert row["AveragePacketRate"]["normal_Average"] is None and row["Map"]["normalDS"] == []
     assert row["ProtocolDistribution"]["normal"]["x"] == 0
     assert len(row["Map"]["attackDS"]) == 3
 
 
 def test_empty_captures_give_an_empty_report(spark, blocks):
-    row = report_document(capture(spark, "no packets here\n"), blocks).first()
+    empty = build_report(capture(spark, "no packets here\n"), blocks)
+    row = empty.header.first()
     assert row["AveragePacketRate"]["attack_Average"] is None
-    assert row["AveragePacketData"]["attack_Y"] == row["Map"]["geoData"] == []
-    assert row["BehaviorOfTopIP"]["attackBehaviorOfSource"] == []
+    assert row["BehaviorOfTopIP"]["attackBehaviorOfSource"] == row["Map"]["victimData"] == []
+    assert [df.count() for df in empty] == [1, 0, 0, 0]

@@ -105,37 +105,44 @@ def test_talkers_as_array(packets):
     assert row["hosts"] == [{"10.0.0.1": 3}, {"10.0.0.2": 2}]
 
 
-@pytest.mark.parametrize("most", [None, 4])
-def test_profiles_in_both_roles(spark, packets, most):
+@pytest.fixture(params=["-1", "10485760"])
+def list_joins(spark, request):
+    """A list that is joined by a shuffle, and one that is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_profiles_in_both_roles(spark, packets, list_joins):
     listed = talkers.top_hosts(packets, "src", k=2).withColumn("listed_as", F.lit("src"))
     blocks = spark.createDataFrame(
         [(167772161, 167772161, 32, "Here", None, 1.0, 2.0)],
         "ip_from long, ip_to long, prefix_len int, country string, city string,"
         " latitude double, longitude double",
     )
-    assert sorted(map(tuple, hosts.host_profile(packets, listed, blocks, most).collect())) == [
+    assert sorted(map(tuple, hosts.host_profile(packets, listed, blocks).collect())) == [
         (A, "src", 1, "10.0.0.1", "dst", 1, 88, 103.0, 103.0, "Here"),
         (A, "src", 1, "10.0.0.1", "src", 3, 160, 100.1, 101.0, "Here"),
         # Never a destination: zeros and no times.
         (A, "src", 2, "10.0.0.2", "dst", 0, 0, None, None, "not found"),
         (A, "src", 2, "10.0.0.2", "src", 2, 130, 101.5, 103.2, "not found"),
     ]
-    assert rows(hosts.host_protocols(packets, listed, most)) == [
+    assert rows(hosts.host_protocols(packets, listed)) == [
         (A, "10.0.0.1", "dst", "ICMP", 1),
         (A, "10.0.0.1", "src", "ICMP", 2),
         (A, "10.0.0.1", "src", "TCP", 1),
         (A, "10.0.0.2", "src", "DNS", 1),
         (A, "10.0.0.2", "src", "UDP", 1),
     ]
-    assert rows(hosts.host_packets(packets, listed, most)) == [
+    assert rows(hosts.host_packets(packets, listed)) == [
         (A, "10.0.0.1", "dst", 1), (A, "10.0.0.1", "src", 3), (A, "10.0.0.2", "src", 2),
     ]
-    assert rows(hosts.host_peer_countries(packets, listed, blocks, most)) == [
+    assert rows(hosts.host_peer_countries(packets, listed, blocks)) == [
         (A, "10.0.0.1", "dst", "not found", 1),
         (A, "10.0.0.1", "src", "not found", 3),
         (A, "10.0.0.2", "src", "not found", 2),
     ]
-    assert rows(hosts.host_hours(packets, listed, most, "Asia/Kolkata"), "role", "hour", "rate") == [
+    assert rows(hosts.host_hours(packets, listed, "Asia/Kolkata"), "role", "hour", "rate") == [
         ("dst", 5, 1), ("src", 5, 2), ("src", 5, 3),
     ]
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from wiretally.operators import geo, pairs, rates, talkers
 from wiretally.operators.ranking import GROUP_LIMIT
-from wiretally.plans.report import report_document
-from wiretally.schema import TOP_HOSTS, TOP_PAIRS
-from wiretally.sinks import write_document, write_table
+from wiretally.plans.report import build_report
+from wiretally.schema import ROLES, TOP_HOSTS, TOP_PAIRS
+from wiretally.sinks import write_report, write_table
 from wiretally.sources.geo import (
     count_block_rejects,
     read_block_table,
@@ -35,6 +36,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--report-format", default="json")
     parser.add_argument("--packets", help="keep the typed packets here and read them back")
     parser.add_argument("--rejects", help="folder for counts of unusable lines and blocks")
+    parser.add_argument("--tables", help="folder for the result tables, each replaced")
     parser.add_argument("--run-id")
     parser.add_argument("--hosts", type=int, default=TOP_HOSTS, help="hosts per list")
     parser.add_argument("--pairs", type=int, default=TOP_PAIRS, help="pairs per list")
@@ -58,10 +60,28 @@ def main(argv: Sequence[str] | None = None) -> None:
         fmt = "csv" if args.locations else args.blocks_format
         table = read_block_table(spark, args.blocks, fmt)
         write_table(count_block_rejects(table), f"{args.rejects}/blocks")
-    report = report_document(
-        packets, blocks, args.run_id, args.hosts, args.pairs, args.zone
-    )
-    write_document(report, args.report, args.report_format)
+    if args.tables:
+        for name, table in result_tables(packets, blocks, args.hosts, args.pairs).items():
+            write_table(table, f"{args.tables}/{name}")
+    report = build_report(packets, blocks, args.run_id, args.hosts, args.pairs, args.zone)
+    write_report(report, args.report, args.report_format)
+
+
+def result_tables(
+    packets: DataFrame, blocks: DataFrame, hosts_k: int, pairs_k: int
+) -> dict[str, DataFrame]:
+    """The lists and series that a report starts from, by table name."""
+    top = {
+        f"top_{role}_{metric}": talkers.top_hosts(packets, role, metric, hosts_k)
+        for role in ROLES
+        for metric in ("packets", "bytes")
+    }
+    return top | {
+        "rates": rates.with_index(rates.traffic_per_bucket(packets)),
+        "pairs": pairs.top_pairs(packets, pairs_k),
+        "victims": pairs.top_victims(packets, pairs_k),
+        "map": geo.geo_map(packets, blocks),
+    }
 
 
 if __name__ == "__main__":

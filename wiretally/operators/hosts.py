@@ -1,9 +1,10 @@
 """Behaviour of listed hosts in both roles.
 
-The host list is small against the traffic, so it goes to the packets: a
-broadcast semi join drops other hosts' packets before anything is shuffled,
-and what remains is pre-aggregated in the same stage. A list that may be too
-long for that is joined after aggregation instead.
+Other hosts' packets are dropped by a semi join before anything is shuffled, and
+what remains is pre-aggregated in the same stage. Spark chooses the kind of join
+from the list's size: it is staged, so that the size is known when the packets
+are planned. A short list is broadcast; beyond the session's threshold packets
+and list are shuffled, where adaptive execution splits a very busy host.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import epoch_second, wall_clock
-from wiretally.operators.geo import geo_lookup, locate
+from wiretally.operators.geo import geo_lookup
 from wiretally.schema import ROLES
-
-# Longest host list sent to every executor: a few megabytes of address text.
-BROADCAST_HOSTS = 50_000
+from wiretally.sinks import shared_folder, stage
 
 
 def role_rows(packets: DataFrame, *columns: str) -> DataFrame:
@@ -33,33 +32,32 @@ def role_rows(packets: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _listed(
-    rows: DataFrame, hosts: DataFrame, most: int | None, keys: list[str], *aggregates: Column
-) -> DataFrame:
-    """Aggregate ``rows`` by ``capture, ip, role`` and ``keys`` for the listed hosts.
+def staged_list(hosts: DataFrame) -> DataFrame:
+    """The list written or persisted once, so that planning knows its size."""
+    return stage(hosts, shared_folder(hosts.sparkSession), "hosts")
 
-    ``most`` is a proven upper bound on the number of list rows, if one is known.
-    """
+
+def _listed(rows: DataFrame, hosts: DataFrame, keys: list[Column], *aggregates: Column) -> DataFrame:
+    """Aggregate ``rows`` by ``capture, ip, role`` and ``keys`` for the hosts of a staged list."""
     listed = hosts.select("capture", "ip")
-    early = most is not None and most <= BROADCAST_HOSTS
-    if early:
-        rows = rows.join(F.broadcast(listed), ["capture", "ip"], "left_semi")
-    totals = rows.groupBy("capture", "ip", "role", *keys).agg(*aggregates)
-    if not early:
-        totals = totals.join(listed, ["capture", "ip"], "left_semi")
-    return totals
-
-
-def role_protocol_totals(
-    packets: DataFrame, hosts: DataFrame, most: int | None = None
-) -> DataFrame:
-    """``(capture, ip, role, protocol_name, packets, bytes, first, last)``."""
+    wanted = rows.join(listed, ["capture", "ip"], "left_semi")
+    return wanted.groupBy("capture", "ip", "role", *keys).agg(*aggregates)
+
+
+def _hour(zone: str) -> Column:
+    return F.hour(wall_clock(epoch_second(), zone)).alias("hour")
+
+
+def role_totals_of(packets: DataFrame, listed: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``(capture, ip, role, protocol_name, hour, packets, bytes, first, last)`` for a staged list.
+
+    The one pass from which profiles, protocols and hours are added up.
+    """
     rows = role_rows(packets, "data_length", "protocol_name", "arrival_time")
     return _listed(
         rows,
-        hosts,
-        most,
-        ["protocol_name"],
+        listed,
+        [F.col("protocol_name"), _hour(zone)],
         F.count("*").alias("packets"),
         F.sum("data_length").alias("bytes"),
         F.min("arrival_time").alias("first"),
@@ -67,40 +65,43 @@ def role_protocol_totals(
     )
 
 
-def host_packets(packets: DataFrame, hosts: DataFrame, most: int | None = None) -> DataFrame:
+def role_sums(totals: DataFrame) -> DataFrame:
+    """``(capture, ip, role, packets, bytes, first_connection, last_connection)``."""
+    return totals.groupBy("capture", "ip", "role").agg(
+        F.sum("packets").alias("packets"),
+        F.sum("bytes").alias("bytes"),
+        F.min("first").alias("first_connection"),
+        F.max("last").alias("last_connection"),
+    )
+
+
+def summed_rates(totals: DataFrame, key: str) -> DataFrame:
+    """``(capture, ip, role, key, rate)``: packets by ``protocol_name`` or ``hour``."""
+    return totals.groupBy("capture", "ip", "role", key).agg(F.sum("packets").alias("rate"))
+
+
+def host_packets(packets: DataFrame, hosts: DataFrame) -> DataFrame:
     """``(capture, ip, role, packets)`` of the listed hosts; roles not taken are left out."""
-    return _listed(role_rows(packets), hosts, most, [], F.count("*").alias("packets"))
+    return _listed(role_rows(packets), staged_list(hosts), [], F.count("*").alias("packets"))
 
 
-def host_protocols(
-    packets: DataFrame, hosts: DataFrame, most: int | None = None
-) -> DataFrame:
+def host_protocols(packets: DataFrame, hosts: DataFrame) -> DataFrame:
     """``(capture, ip, role, protocol_name, rate)`` with the names as captured."""
-    totals = role_protocol_totals(packets, hosts, most)
-    return totals.select(
-        "capture", "ip", "role", "protocol_name", F.col("packets").alias("rate")
-    )
+    rows = role_rows(packets, "protocol_name")
+    keys = [F.col("protocol_name")]
+    return _listed(rows, staged_list(hosts), keys, F.count("*").alias("rate"))
 
 
-def host_hours(
-    packets: DataFrame, hosts: DataFrame, most: int | None = None, zone: str = "UTC"
-) -> DataFrame:
+def host_hours(packets: DataFrame, hosts: DataFrame, zone: str = "UTC") -> DataFrame:
     """``(capture, ip, role, hour, rate)``: packets by hour of day in ``zone``."""
-    hour = F.hour(wall_clock(epoch_second(), zone)).alias("hour")
-    rows = role_rows(packets.select("capture", "src", "dst", hour), "hour")
-    return _listed(rows, hosts, most, ["hour"], F.count("*").alias("rate"))
+    rows = role_rows(packets, "arrival_time")
+    return _listed(rows, staged_list(hosts), [_hour(zone)], F.count("*").alias("rate"))
 
 
-def profile_rows(totals: DataFrame, located: DataFrame) -> DataFrame:
+def profile_rows(sums: DataFrame, located: DataFrame) -> DataFrame:
     """Every listed host in both roles, with zeros and nulls for a role not taken."""
-    by_role = totals.groupBy("capture", "ip", "role").agg(
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.min("first").alias("first_connection"),
-        F.max("last").alias("last_connection"),
-    )
     both = located.withColumn("role", F.explode(F.array(*map(F.lit, ROLES))))
-    return both.join(by_role, ["capture", "ip", "role"], "left").select(
+    return both.join(sums, ["capture", "ip", "role"], "left").select(
         "capture",
         "listed_as",
         "rank",
@@ -114,37 +115,38 @@ def profile_rows(totals: DataFrame, located: DataFrame) -> DataFrame:
     )
 
 
-def host_profile(
-    packets: DataFrame, hosts: DataFrame, blocks: DataFrame, most: int | None = None
-) -> DataFrame:
+def with_country(listed: DataFrame, places: DataFrame) -> DataFrame:
+    """``listed`` with the ``country`` that ``places`` has for its ``ip``."""
+    return listed.join(places.select("ip", "country"), "ip", "left")
+
+
+def host_profile(packets: DataFrame, hosts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Packets, bytes, first and last packet and country per listed host and role.
 
     ``hosts`` has ``capture, listed_as, rank, ip``.
     """
-    # The semi join would put this test on its own copy of the list only; on
-    # both copies it lets them share one computation.
-    hosts = hosts.select("capture", "listed_as", "rank", "ip").where(
-        F.col("capture").isNotNull()
+    listed = staged_list(hosts.select("capture", "listed_as", "rank", "ip"))
+    rows = role_rows(packets, "data_length", "arrival_time")
+    sums = _listed(
+        rows,
+        listed,
+        [],
+        F.count("*").alias("packets"),
+        F.sum("data_length").alias("bytes"),
+        F.min("arrival_time").alias("first_connection"),
+        F.max("arrival_time").alias("last_connection"),
     )
-    located = locate(hosts, blocks, most=most)
-    return profile_rows(role_protocol_totals(packets, hosts, most), located)
+    return profile_rows(sums, with_country(listed, geo_lookup(listed, blocks)))
+
 
+def host_peer_countries(packets: DataFrame, hosts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(capture, ip, role, country, rate)``: packets by country of the other end.
 
-def host_peer_countries(
-    packets: DataFrame, hosts: DataFrame, blocks: DataFrame, most: int | None = None
-) -> DataFrame:
-    """``(capture, ip, role, country, rate)``: packets by country of the other end."""
+    Each distinct peer is located once, however many hosts it meets.
+    """
     peers = _listed(
-        role_rows(packets), hosts, most, ["peer"], F.count("*").alias("packets")
-    )
-    if most is not None:
-        # Every row of a peer names another host and role of the list.
-        located = locate(peers, blocks, "peer")
-    else:
-        places = geo_lookup(peers.select(F.col("peer").alias("ip")), blocks)
-        located = peers.join(
-            places.select(F.col("ip").alias("peer"), "country"), "peer", "left"
-        )
-    return located.groupBy("capture", "ip", "role", "country").agg(
-        F.sum("packets").alias("rate")
+        role_rows(packets), staged_list(hosts), [F.col("peer")], F.count("*").alias("packets")
     )
+    places = geo_lookup(peers.select(F.col("peer").alias("ip")), blocks)
+    located = peers.join(places.select(F.col("ip").alias("peer"), "country"), "peer", "left")
+    return located.groupBy("capture", "ip", "role", "country").agg(F.sum("packets").alias("rate"))

@@ -31,23 +31,26 @@ def top_hosts(
     return top_k(totals(packets, role), k)
 
 
-def role_counts(traffic: DataFrame) -> DataFrame:
-    """``(capture, role, ip, n)`` for both roles, from packets or from pair counts."""
-    n = F.sum("n") if "n" in traffic.columns else F.count("*")
-    weight = ["n"] if "n" in traffic.columns else []
+def role_counts(traffic: DataFrame, weight: str | None = None) -> DataFrame:
+    """``(capture, role, ip, n)`` for both roles: rows, or the sum of the column ``weight``.
+
+    Packets have no weight; pair counts have ``n``.
+    """
     ends = F.array(
         *[F.struct(F.lit(r).alias("role"), F.col(r).alias("ip")) for r in ROLES]
     )
     return (
-        traffic.select("capture", *weight, F.explode(ends).alias("end"))
+        traffic.select("capture", *[weight] * (weight is not None), F.explode(ends).alias("end"))
         .groupBy("capture", "end.role", "end.ip")
-        .agg(n.alias("n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     )
 
 
-def top_hosts_by_role(traffic: DataFrame, k: int = TOP_HOSTS) -> DataFrame:
+def top_hosts_by_role(
+    traffic: DataFrame, k: int = TOP_HOSTS, weight: str | None = None
+) -> DataFrame:
     """``(capture, listed_as, rank, ip, n)``: both busiest-host lists at once."""
-    return top_k(role_counts(traffic), k, by=("capture", "role")).select(
+    return top_k(role_counts(traffic, weight), k, by=("capture", "role")).select(
         "capture", F.col("role").alias("listed_as"), "rank", "ip", "n"
     )
 

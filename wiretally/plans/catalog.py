@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from wiretally.functions.columns import epoch_second, protocol_bucket, readable_time
 from wiretally.operators import geo, hosts, pairs, rates, talkers
 from wiretally.plans.flatten import report_values
-from wiretally.plans.report import report_document
-from wiretally.schema import CAPTURES, TOP_HOSTS
+from wiretally.plans.report import build_report
+from wiretally.schema import CAPTURES
 from wiretally.sources.geo import conform_blocks, count_block_rejects
 from wiretally.sources.packets import (
     conform,
     count_rejects,
     count_typed_rejects,
+    packet_text,
     parse_lines,
     union_captures,
 )
@@ -34,8 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 FILTER_SRC = "10.0.0.7"
 FILTER_DST = "10.0.0.3"
 HOUR = 3600
-# Source and destination lists of the busiest hosts, per capture.
-LISTED = 2 * TOP_HOSTS * len(CAPTURES)
 
 
 def _on_packets(query: Callable[[DataFrame], DataFrame]) -> Query:
@@ -63,6 +62,14 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _text_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets in the exporter's six-field form, read back."""
+    p = packets_view(spark, sf_dir)
+    return union_captures(
+        [parse_lines(packet_text(p.where(F.col("capture") == c)), c) for c in CAPTURES]
+    )
+
+
 def _union(p: DataFrame) -> DataFrame:
     return union_captures([p.where(F.col("capture") == c) for c in CAPTURES])
 
@@ -89,7 +96,7 @@ def _attribute(*names: str) -> Query:
 
 
 def _profile(p: DataFrame, g: DataFrame) -> DataFrame:
-    return hosts.host_profile(p, _busiest(p), g, LISTED).select(
+    return hosts.host_profile(p, _busiest(p), g).select(
         "capture",
         "listed_as",
         "rank",
@@ -105,14 +112,15 @@ def _profile(p: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested report; ``report_values`` checks what it holds."""
-    return _on_both(lambda p, g: report_document(p, g, run_id="check"))(spark, sf_dir)
+    """The report's values, from its header and tables."""
+    return _on_both(lambda p, g: report_values(build_report(p, g, run_id="check")))(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {
     # sources
     "packets_scan": _on_packets(conform),
     "packets_parse": _parse,
+    "packets_text": _text_form,
     "packets_rejects": lambda spark, sf: count_rejects(packet_lines_view(spark, sf)),
     "capture_union": _on_packets(_union),
     "typed_rejects": _on_packets(lambda p: count_typed_rejects(rough_packets(p))),
@@ -155,7 +163,7 @@ QUERIES: dict[str, Query] = {
         lambda p: rates.packets_per_second(p).select("capture", "second", "idx")
     ),
     "host_profile": _on_both(_profile),
-    "host_protocols": _on_packets(lambda p: hosts.host_protocols(p, _busiest(p), LISTED)),
+    "host_protocols": _on_packets(lambda p: hosts.host_protocols(p, _busiest(p))),
     "pair_counts": _on_packets(pairs.pair_counts),
     "pair_range": _on_packets(lambda p: pairs.pair_range(pairs.pair_counts(p))),
     # top-k
@@ -170,7 +178,7 @@ QUERIES: dict[str, Query] = {
     "distinct_ips": _on_packets(geo.distinct_ips),
     # joins
     "top_host_packets": _on_packets(
-        lambda p: hosts.host_packets(p, talkers.top_hosts(p, "src"), LISTED)
+        lambda p: hosts.host_packets(p, talkers.top_hosts(p, "src"))
     ),
     "geo_lookup": _on_both(lambda p, g: geo.geo_lookup(geo.distinct_ips(p), g)),
     "geo_country": _attribute("country"),
@@ -178,11 +186,11 @@ QUERIES: dict[str, Query] = {
     "geo_location": _attribute("latitude", "longitude"),
     "geo_map": _on_both(geo.geo_map),
     # hours, peer countries and top countries
-    "host_hours": _on_packets(lambda p: hosts.host_hours(p, _busiest(p), LISTED)),
+    "host_hours": _on_packets(lambda p: hosts.host_hours(p, _busiest(p))),
     "host_peer_countries": _on_both(
-        lambda p, g: hosts.host_peer_countries(p, _busiest(p), g, LISTED)
+        lambda p, g: hosts.host_peer_countries(p, _busiest(p), g)
     ),
     "top_countries": _on_both(geo.top_countries),
-    # the values of the whole nested report as rows
-    "report_values": _on_both(lambda p, g: report_values(report_document(p, g, run_id="check"))),
+    # the values of the whole report as rows
+    "report_values": report,
 }

@@ -67,6 +67,12 @@ LISTED = f"""listed AS (
 listed_rows AS (
   SELECT * FROM roles WHERE (capture, ip) IN (SELECT (capture, ip) FROM listed))"""
 
+HOURS = """SELECT capture, ip, role, hour, count(*) AS rate
+FROM (SELECT capture, ip, role,
+             CAST((CAST(trunc(arrival_time) AS BIGINT) % 86400) // 3600 AS INTEGER) AS hour
+      FROM listed_rows)
+GROUP BY capture, ip, role, hour"""
+
 # Every address with its most specific block.
 LOCATED = """ips AS (
   SELECT DISTINCT ip FROM (SELECT src AS ip FROM packets UNION ALL SELECT dst FROM packets)),
@@ -170,14 +176,12 @@ def _located(columns: str) -> str:
 
 
 def _report_values() -> str:
-    """The report's values; at most ten thousand elements per array and part."""
-    size = 10_000
+    """The report's values, one row each."""
     rows: list[str] = []
 
     def add(section: str, position: str, label: str, number: str, text: str, source: str) -> None:
         rows.append(
-            f"SELECT ({position}) // {size} AS part, {section} AS section,"
-            f" ({position}) % {size} AS position, {label} AS label,"
+            f"SELECT {section} AS section, {position} AS position, {label} AS label,"
             f" round(CAST({number} AS DOUBLE), 6) AS number, {text} AS text FROM {source}"
         )
 
@@ -204,7 +208,15 @@ def _report_values() -> str:
             no_text,
             "indexed",
         )
-    add("'AverageProtocolRate.' || capture || '.X'", "idx", no_text, "idx", no_text, "indexed")
+    for name, column in (("X", "idx"), ("second", "second")):
+        add(
+            f"'AverageProtocolRate.' || capture || '.{name}'",
+            "idx",
+            no_text,
+            column,
+            no_text,
+            "indexed",
+        )
     zero = "CAST(0 AS BIGINT)"
     add(
         "'ProtocolDistribution.' || capture || '.' || bucket",
@@ -246,14 +258,22 @@ def _report_values() -> str:
         )
     add(f"{path} || 'Country'", "rank - 1", "ip", no_number, "country", "profile")
     add(
-        f"{path} || 'Protocols'",
-        "rank - 1",
+        f"'BehaviorOfTopIP.' || capture || '.' || {role_name} || '.Protocols'",
+        zero,
         "ip || ' ' || protocol_name",
         "rate",
         no_text,
-        "(SELECT l.capture, l.listed_as, l.rank, l.ip, p.role, p.protocol_name, p.rate FROM listed l"
-        " JOIN (SELECT capture, ip, role, protocol_name, count(*) AS rate FROM listed_rows"
-        " GROUP BY capture, ip, role, protocol_name) p ON p.capture = l.capture AND p.ip = l.ip)",
+        "(SELECT capture, ip, role, protocol_name, count(*) AS rate FROM listed_rows"
+        " GROUP BY capture, ip, role, protocol_name)",
+    )
+    add(
+        f"{path} || 'Hours'",
+        "rank - 1",
+        "ip || ' ' || CAST(hour AS VARCHAR)",
+        "rate",
+        no_text,
+        "(SELECT l.capture, l.listed_as, l.rank, l.ip, h.role, h.hour, h.rate FROM listed l"
+        f" JOIN ({HOURS}) h ON h.capture = l.capture AND h.ip = l.ip)",
     )
     add(
         "'Map.' || capture || 'DS'", "rank - 1", "src || ' ' || dst", "value", no_text, "top"
@@ -266,18 +286,16 @@ def _report_values() -> str:
         no_text,
         "(SELECT * FROM top WHERE capture = 'attack')",
     )
-    # Locations are ordered by /16, then by address text; a null gives no row.
+    # A null coordinate gives no row.
     for name in ("longitude", "latitude"):
         add(
             f"'Map.geoData.{name}'",
-            "place",
+            "v",
             "ip",
             name,
             no_text,
-            f"(SELECT * FROM placed WHERE {name} IS NOT NULL)",
+            f"(SELECT * FROM located WHERE {name} IS NOT NULL)",
         )
-    placed = """placed AS (
-  SELECT *, row_number() OVER (ORDER BY v // 65536, ip) - 1 AS place FROM located)"""
     traffic = f"count(*) AS packets, {BYTES} AS bytes, {PER_PROTOCOL}"
     return _with(
         PACKETS,
@@ -292,7 +310,6 @@ def _report_values() -> str:
         LISTED,
         LOCATED,
         PROFILE,
-        placed,
     ) + "\nUNION ALL\n".join(rows)
 
 
@@ -301,6 +318,7 @@ ALL_COLUMNS = "capture, src, dst, data_length, protocol_name, protocol_number, a
 ORACLE: dict[str, str] = {
     "packets_scan": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
     "packets_parse": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
+    "packets_text": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
     "packets_rejects": """SELECT reason, count(*) AS n FROM events
 CROSS JOIN (VALUES ('arity'), ('arity'), ('data_length'), ('arrival_time')) r(reason)
 GROUP BY reason""",
@@ -389,12 +407,7 @@ GROUP BY capture, ip, role""",
     "geo_city": _located("ip, city"),
     "geo_location": _located("ip, latitude, longitude"),
     "geo_map": _located("ip, longitude, latitude"),
-    "host_hours": _with(PACKETS, ROLES, LISTED)
-    + """SELECT capture, ip, role, hour, count(*) AS rate
-FROM (SELECT capture, ip, role,
-             CAST((CAST(trunc(arrival_time) AS BIGINT) % 86400) // 3600 AS INTEGER) AS hour
-      FROM listed_rows)
-GROUP BY capture, ip, role, hour""",
+    "host_hours": _with(PACKETS, ROLES, LISTED) + HOURS,
     "host_peer_countries": _with(PACKETS, BLOCKS, ROLES, LISTED, LOCATED)
     + """SELECT l.capture, l.ip, l.role, g.country, count(*) AS rate
 FROM listed_rows l JOIN located g ON g.ip = l.peer

@@ -1,26 +1,26 @@
-"""The nested report over both captures.
+"""The report over both captures: one header document and three tables of rows.
 
 Packets are read three times, whatever the number of statistics: once per
 second, once per source-destination pair, once for the listed hosts. All
 sections start from those three small tables.
 
-Series, pair lists and locations grow with the traffic, so the document is
-split into parts of at most ``part_size`` elements per array. Part 0 has the
-report's full shape; further parts continue the arrays. Short captures give one
-part. Elements go to their part by their index, so no task holds a longer list.
+What is bounded by the lengths of the lists is nested in the header: one row per
+run. What grows with the traffic is always rows, in the same layout for every
+size: seconds of the series, located addresses, and protocols of the listed
+hosts. All four carry the ``run_id``.
 """
 
 from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.functions.columns import ip_to_long, readable_time
+from wiretally.functions.columns import readable_time
 from wiretally.operators import geo, hosts, pairs, rates, talkers
-from wiretally.operators.ranking import dense_index
 from wiretally.schema import (
     BUCKETS,
     CAPTURES,
@@ -31,45 +31,58 @@ from wiretally.schema import (
 )
 from wiretally.sinks import shared_folder, stage
 
-# Keeps a part within the 16 MB that document stores commonly allow.
-PART_SIZE = 10_000
 
+class Report(NamedTuple):
+    #: One row of ``REPORT_SCHEMA``.
+    header: DataFrame
+    #: ``run_id, capture, idx, second, packets, bytes, HTTP .. others``
+    series: DataFrame
+    #: ``run_id, ip, longitude, latitude``
+    locations: DataFrame
+    #: ``run_id, capture, ip, role, Name, rate`` of the listed hosts
+    protocols: DataFrame
 
-def report_document(
+
+def build_report(
     packets: DataFrame,
     blocks: DataFrame,
     run_id: str | None = None,
     hosts_k: int = TOP_HOSTS,
     pairs_k: int = TOP_PAIRS,
     zone: str = "UTC",
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """The report as rows of ``REPORT_SCHEMA``, one per part."""
-    packets = packets.where(F.col("capture").isin(*CAPTURES))
+) -> Report:
+    """The report; captures of another name than ``CAPTURES`` raise ``ValueError``."""
     folder = shared_folder(packets.sparkSession)
-    seconds = stage(rates.with_index(rates.traffic_per_bucket(packets)), folder, "seconds")
     counts = stage(pairs.pair_counts(packets), folder, "pairs")
-    listed = stage(talkers.top_hosts_by_role(counts, hosts_k), folder, "hosts")
-    # Two lists of k hosts per capture.
-    most = 2 * hosts_k * len(CAPTURES)
-    totals = stage(hosts.role_protocol_totals(packets, listed, most), folder, "totals")
+    _check_captures(counts)
+    seconds = stage(rates.with_index(rates.traffic_per_bucket(packets)), folder, "seconds")
+    listed = stage(talkers.top_hosts_by_role(counts, hosts_k, "n"), folder, "hosts")
+    totals = stage(hosts.role_totals_of(packets, listed, zone), folder, "totals")
+    places = stage(geo.geo_lookup(geo.distinct_ips(counts), blocks), folder, "places")
 
     sections = [
-        _series(seconds, part_size),
         _summary(seconds),
-        _behaviour(totals, listed, blocks, most, zone, part_size),
-        _pairs(pairs.top_pairs_of(counts, pairs_k), part_size),
-        _locations(counts, blocks, part_size),
+        _behaviour(totals, hosts.with_country(listed, places), zone),
+        _pairs(pairs.top_pairs_of(counts, pairs_k)),
     ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sections)
-    names = [c for c in rows.columns if c != "part"]
-    # One row per section and part.
-    parts = rows.groupBy("part").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
-    return _assemble(parts, run_id or uuid.uuid4().hex)
+    # One row per section.
+    one = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
+    run = F.lit(run_id or uuid.uuid4().hex).alias("run_id")
+    protocols = hosts.summed_rates(totals, "protocol_name")
+    return Report(
+        _assemble(one, run),
+        seconds.select(run, "capture", "idx", "second", "packets", "bytes", *BUCKETS),
+        places.select(run, "ip", "longitude", "latitude"),
+        protocols.select(run, "capture", "ip", "role", F.col("protocol_name").alias("Name"), "rate"),
+    )
 
 
-def _part(index: str, part_size: int) -> Column:
-    return F.expr(f"({index}) div {part_size}").alias("part")
+def _check_captures(counts: DataFrame) -> None:
+    named = F.coalesce(F.col("capture").isin(*CAPTURES), F.lit(False))
+    other = counts.where(~named).select("capture").limit(1).collect()
+    if other:
+        raise ValueError(f"captures must be named {CAPTURES}, not {other[0]['capture']!r}")
 
 
 def _gather(condition: str, position: str, *fields: str) -> Column:
@@ -78,13 +91,6 @@ def _gather(condition: str, position: str, *fields: str) -> Column:
     return F.expr(f"sort_array(collect_list({row}) filter (where {condition}))")
 
 
-def _series(seconds: DataFrame, part_size: int) -> DataFrame:
-    columns = ("packets", "bytes", *BUCKETS)
-    return seconds.groupBy(_part("idx", part_size)).agg(
-        *[_gather(f"capture = '{c}'", "idx", *columns).alias(f"{c}_series") for c in CAPTURES]
-    )
-
-
 def _summary(seconds: DataFrame) -> DataFrame:
     """Rate summaries and protocol totals of both captures as one row."""
     columns = []
@@ -96,7 +102,7 @@ def _summary(seconds: DataFrame) -> DataFrame:
             for f in ("avg", "min", "max")
         ]
         columns += [f"nullif(sum({b}) {only}, 0) as {c}_{b}" for b in BUCKETS]
-    return seconds.selectExpr("0L as part", *columns)
+    return seconds.selectExpr(*columns)
 
 
 def _profile_block(role: str, bytes_name: str, zone: str) -> Column:
@@ -111,30 +117,21 @@ def _profile_block(role: str, bytes_name: str, zone: str) -> Column:
         pick(F.col("bytes")).alias(bytes_name),
         time("first_connection").alias("FirstConnection"),
         time("last_connection").alias("LastConnection"),
-        F.coalesce(pick(F.col("protocols")), F.array()).alias("Protocols"),
         F.struct(F.max("country").alias("name")).alias("Country"),
-        F.lit(None).alias("Hours"),
+        F.coalesce(pick(F.col("hours")), F.array()).alias("Hours"),
     )
 
 
-def _behaviour(
-    totals: DataFrame,
-    listed: DataFrame,
-    blocks: DataFrame,
-    most: int,
-    zone: str,
-    part_size: int,
-) -> DataFrame:
-    located = geo.locate(listed.drop("n"), blocks, most=most)
-    profiles = hosts.profile_rows(totals, located)
-    # A host's protocol names are bounded by what the dissector knows.
-    protocols = totals.groupBy("capture", "ip", "role").agg(
-        F.expr(
-            "sort_array(collect_list(struct(protocol_name as Name, packets as rate)))"
-        ).alias("protocols")
+def _behaviour(totals: DataFrame, located: DataFrame, zone: str) -> DataFrame:
+    """Profiles of the listed hosts, at most k a list, each with at most 24 hours a role."""
+    profiles = hosts.profile_rows(hosts.role_sums(totals), located)
+    hours = (
+        hosts.summed_rates(totals, "hour")
+        .groupBy("capture", "ip", "role")
+        .agg(F.expr("sort_array(collect_list(struct(hour as Hour, rate)))").alias("hours"))
     )
     one_per_host = (
-        profiles.join(protocols, ["capture", "ip", "role"], "left")
+        profiles.join(hours, ["capture", "ip", "role"], "left")
         .groupBy("capture", "listed_as", "rank", "ip")
         .agg(
             F.struct(
@@ -144,7 +141,7 @@ def _behaviour(
             ).alias("profile")
         )
     )
-    return one_per_host.groupBy(_part("rank - 1", part_size)).agg(
+    return one_per_host.agg(
         *[
             _gather(f"capture = '{c}' and listed_as = '{r}'", "rank", "profile").alias(
                 f"{c}_{r}_profiles"
@@ -155,8 +152,9 @@ def _behaviour(
     )
 
 
-def _pairs(top: DataFrame, part_size: int) -> DataFrame:
-    return top.groupBy(_part("rank - 1", part_size)).agg(
+def _pairs(top: DataFrame) -> DataFrame:
+    """The pair lists, at most k pairs a capture."""
+    return top.agg(
         *[
             _gather(f"capture = '{c}'", "rank", "src", "dst", "value").alias(f"{c}_pairs")
             for c in CAPTURES
@@ -164,18 +162,6 @@ def _pairs(top: DataFrame, part_size: int) -> DataFrame:
     )
 
 
-def _locations(counts: DataFrame, blocks: DataFrame, part_size: int) -> DataFrame:
-    located = geo.geo_map(counts, blocks)
-    # At most 65,536 addresses share a /16; other text is spread by hash.
-    block = F.coalesce(
-        F.shiftright(ip_to_long(), 16), F.expr("65536L + pmod(xxhash64(ip), 65536L)")
-    )
-    numbered = dense_index(located, "ip", block, by=())
-    return numbered.groupBy(_part("idx", part_size)).agg(
-        _gather("true", "idx", "ip", "longitude", "latitude").alias("locations")
-    )
-
-
 def _struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
@@ -188,33 +174,22 @@ def _list(array: str, element: str) -> str:
 def _rate(metric: str) -> str:
     short = {"Average": "avg", "min": "min", "max": "max"}
     return _struct(
-        {f"{c}_X": _list(f"{c}_series", "e.idx") for c in CAPTURES}
-        | {f"{c}_{name}": f"{c}_{metric}_{s}" for name, s in short.items() for c in CAPTURES}
-        | {f"{c}_Y": _list(f"{c}_series", f"e.{metric}") for c in CAPTURES}
+        {f"{c}_{name}": f"{c}_{metric}_{s}" for name, s in short.items() for c in CAPTURES}
     )
 
 
-def _protocol_rate(c: str) -> str:
-    return _struct({b: _list(f"{c}_series", f"e.{b}") for b in BUCKETS} | {
-        "X": _list(f"{c}_series", "e.idx")
-    })
-
-
 def _distribution(c: str) -> str:
     present = " + ".join(f"if({c}_{b} is null, 0, 1)" for b in BUCKETS)
-    return _struct({b: f"{c}_{b}" for b in BUCKETS} | {"x": f"if(part = 0, {present}, null)"})
+    return _struct({b: f"{c}_{b}" for b in BUCKETS} | {"x": present})
 
 
-def _assemble(parts: DataFrame, run_id: str) -> DataFrame:
+def _assemble(one: DataFrame, run: Column) -> DataFrame:
     pair = _struct({"source": "e.src", "destination": "e.dst", "value": "e.value"})
     victim = _struct({"destination": "e.dst", "value": "e.value"})
-    place = _struct({n: f"e.{n}" for n in ("ip", "longitude", "latitude")})
     sections = {
-        "part": "part",
         "user": f"'{REPORT_USER}'",
         "AveragePacketRate": _rate("packets"),
         "AveragePacketData": _rate("bytes"),
-        "AverageProtocolRate": _struct({c: _protocol_rate(c) for c in CAPTURES}),
         "ProtocolDistribution": _struct({c: _distribution(c) for c in CAPTURES}),
         "BehaviorOfTopIP": _struct(
             {
@@ -225,14 +200,13 @@ def _assemble(parts: DataFrame, run_id: str) -> DataFrame:
         ),
         "Map": _struct(
             {
-                "geoData": _list("locations", place),
                 "attackDS": _list("attack_pairs", pair),
                 "normalDS": _list("normal_pairs", pair),
                 "victimData": _list("attack_pairs", victim),
             }
         ),
     }
-    columns = {name: F.expr(sql) for name, sql in sections.items()} | {"run_id": F.lit(run_id)}
-    return parts.select(
+    columns = {name: F.expr(sql) for name, sql in sections.items()} | {"run_id": run}
+    return one.select(
         *[columns[f.name].cast(f.dataType).alias(f.name) for f in REPORT_SCHEMA.fields]
     )

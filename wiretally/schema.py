@@ -24,7 +24,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 _LONG, _DOUBLE, _STRING = T.LongType(), T.DoubleType(), T.StringType()
-_LONGS = T.ArrayType(_LONG)
 
 PACKET_SCHEMA = _struct(
     capture=_STRING,
@@ -49,19 +48,10 @@ GEO_SCHEMA = _struct(
 RATE_SCHEMA = _struct(
     **{
         f"{capture}_{name}": kind
-        for name, kind in (
-            ("X", _LONGS),
-            ("Average", _DOUBLE),
-            ("min", _LONG),
-            ("max", _LONG),
-            ("Y", _LONGS),
-        )
+        for name, kind in (("Average", _DOUBLE), ("min", _LONG), ("max", _LONG))
         for capture in CAPTURES
     }
 )
-PROTOCOL_RATE_SCHEMA = _struct(
-    **{c: _struct(**{b: _LONGS for b in BUCKETS}, X=_LONGS) for c in CAPTURES}
-)
 DISTRIBUTION_SCHEMA = _struct(
     **{c: _struct(**{b: _LONG for b in BUCKETS}, x=_LONG) for c in CAPTURES}
 )
@@ -73,7 +63,6 @@ def _role_profile(bytes_name: str) -> T.StructType:
         **{bytes_name: _LONG},
         FirstConnection=_STRING,
         LastConnection=_STRING,
-        Protocols=T.ArrayType(_struct(Name=_STRING, rate=_LONG)),
         Country=_struct(name=_STRING),
         Hours=T.ArrayType(_struct(Hour=T.IntegerType(), rate=_LONG)),
     )
@@ -93,7 +82,6 @@ BEHAVIOUR_SCHEMA = _struct(
 )
 _PAIR_LIST = T.ArrayType(_struct(source=_STRING, destination=_STRING, value=_LONG))
 MAP_SCHEMA = _struct(
-    geoData=T.ArrayType(_struct(ip=_STRING, longitude=_DOUBLE, latitude=_DOUBLE)),
     attackDS=_PAIR_LIST,
     normalDS=_PAIR_LIST,
     victimData=T.ArrayType(_struct(destination=_STRING, value=_LONG)),
@@ -101,11 +89,9 @@ MAP_SCHEMA = _struct(
 
 REPORT_SCHEMA = _struct(
     run_id=_STRING,
-    part=_LONG,
     user=_STRING,
     AveragePacketRate=RATE_SCHEMA,
     AveragePacketData=RATE_SCHEMA,
-    AverageProtocolRate=PROTOCOL_RATE_SCHEMA,
     ProtocolDistribution=DISTRIBUTION_SCHEMA,
     BehaviorOfTopIP=BEHAVIOUR_SCHEMA,
     Map=MAP_SCHEMA,

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from wiretally.plans.report import Report
+
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder named in ``spark.checkpoint.dir``, if any, on a cluster and locally alike."""
@@ -17,10 +21,11 @@ def stage(df: DataFrame, folder: str | None, name: str) -> DataFrame:
 
     The copy outlives executors, and later uses start from it instead of the
     packets. Without a folder ``df`` is persisted, and what a lost executor held
-    is computed again.
+    is computed again. Either way it is made now, so that later plans know its size.
     """
     if folder is None:
-        return df.persist()
+        df.persist().count()
+        return df
     path = f"{folder}/wiretally-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,5 +37,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_document(report: DataFrame, path: str, fmt: str = "json", **options: str) -> None:
-    """Append a run's report; ``fmt`` may name a document-store connector."""
+    """Append rows of a run's report; ``fmt`` may name a document-store connector."""
     report.write.mode("append").format(fmt).options(**options).save(path)
+
+
+def write_report(report: Report, path: str, fmt: str = "json") -> None:
+    """Append a report: its header and its three tables, each to a folder of its name."""
+    for name, rows in report._asdict().items():
+        write_document(rows, f"{path}/{name}", fmt)

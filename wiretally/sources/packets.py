@@ -144,8 +144,13 @@ def write_packets(packets: DataFrame, path: str) -> DataFrame:
     )
 
 
-def write_packet_text(packets: DataFrame, path: str) -> None:
-    """Write packets in the exporter's six-field form, without a header."""
+def packet_text(packets: DataFrame) -> DataFrame:
+    """``(value)``: packets as lines of the exporter's six-field form."""
     six = [c for c in PACKET_SCHEMA.fieldNames() if c != "capture"]
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in six])
-    packets.select(line.alias("value")).write.mode("overwrite").text(path)
+    return packets.select(line.alias("value"))
+
+
+def write_packet_text(packets: DataFrame, path: str) -> None:
+    """Write packets in the exporter's six-field form, without a header."""
+    packet_text(packets).write.mode("overwrite").text(path)
