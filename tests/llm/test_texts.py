@@ -199,7 +199,8 @@ def test_pruned_blocks_keep_every_winner():
 
 
 def test_pipeline_is_its_stages_in_turn(spark, library, tmp_path):
-    docs = odd(spark)
+    # Names that stages use for columns of their own.
+    docs = odd(spark).withColumns({"_score": F.lit(0.1), "lines_deleted": F.lit(7)})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(5, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(
         str(tmp_path / "labels.parquet")

@@ -206,8 +206,10 @@ def repeated_run_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     return repeated.join(places, "doc").select(*KEYS, lines.alias("lines"))
 
 
-def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the lines of later copies of repeated runs, and ``lines_deleted``.
+def drop_repeated_runs(
+    docs: DataFrame, min_words: int = MIN_WORDS, deleted: str | None = "lines_deleted"
+) -> DataFrame:
+    """``docs`` without the lines of later copies of repeated runs, and their number as ``deleted``.
 
     A run is one or more neighbouring lines with a word, of ``min_words`` words
     together; blank lines between are passed over and stay. Copies are ordered by
@@ -216,8 +218,9 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     Defined cases: a null text stays null; a text whose lines all go is empty;
     rows of one ``doc_id`` and text are one document and lose the same lines;
     rows of one ``doc_id`` and other texts are ordered by a hash of the text; an
-    empty table gives no rows; other columns are kept, and ``n_chars``, if
-    there, is counted anew where lines went.
+    empty table gives no rows; other columns are kept, whatever their names, and
+    ``n_chars``, if there, is counted anew where lines went. ``deleted`` must be
+    no column of ``docs``; None leaves the number out.
     """
     lines = staged(repeated_run_lines(docs, min_words), "deleted-lines")
     # Documents with deleted lines grow with the corpus: they are never broadcast.
@@ -238,5 +241,6 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         else F.col("doc")[c].alias(c)
         for c in docs.columns
     ]
-    deleted = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    return rows.select(*out, deleted.alias("lines_deleted"))
+    if deleted is not None:
+        out.append(F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(deleted))
+    return rows.select(*out)

@@ -228,8 +228,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     )
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score`` of its ``text``; nothing else is looked at."""
+def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with the score ``name`` of its ``text``; nothing else is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +238,10 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
             rows = (features(t.as_py(), known) for t in batch.column("text"))
             score = np.concatenate([model.scores([r]) for r in rows] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score)], [*batch.schema.names, "_score"]
+                [*batch.columns, pa.array(score)], [*batch.schema.names, name]
             )
 
-    return docs.mapInArrow(of_batches, with_field(docs, "_score", DoubleType()))
+    return docs.mapInArrow(of_batches, with_field(docs, name, DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -263,5 +263,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` predicted to be good; cases as above."""
-    return with_scores(docs, learn(docs, labels)).where("_score >= 0.5").drop("_score")
+    """The rows of ``docs`` predicted to be good; cases as above, columns of any name are kept."""
+    # A name that no column has.
+    name = "_score" + "_" * max(map(len, docs.columns))
+    return with_scores(docs, learn(docs, labels), name).where(F.col(name) >= 0.5).drop(name)
