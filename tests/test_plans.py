@@ -83,7 +83,7 @@ def test_report_reads_packets_once_for_each_staged_table(spark, packets, monkeyp
     staged = {}
 
     def keep(df, folder, name):
-        staged[name] = planned(df)
+        staged[name] = executed(df)
         return stage(df, folder, name)
 
     for module in (report, hosts):
