@@ -67,7 +67,8 @@ def bounded_sample(rows: DataFrame, n: int, seed: int, *columns: str, by: str |
         share = min(1.0, (2.0 * n + 100) / max(1, rows.count()))
         cut = hashed.where(F.abs("_hash") <= share * 2.0**63)
         return cut.orderBy(*order).limit(n).drop("_hash")
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    # Staged, so that its size is known and rows of a common group are not shuffled to meet it.
+    counts = staged(rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")), "counts")
     near = F.abs("_hash") <= (2.0 * n + 100) / F.col("_n") * 2.0**63
     first = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return (
