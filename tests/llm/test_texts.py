@@ -122,6 +122,19 @@ def test_base_spans_of_a_table_and_odd_rows(spark):
         ('token_count = "1234567890"', []),
         ("The secret: a plain sentence follows", []),
         ('title = "Zx81kQm29vLp44"', []),
+        ('os.environ["DB_PASSWORD"] = "kR8#mQ2!vT9z"', ["kR8#mQ2!vT9z"]),
+        ('password: str = "kR8#mQ2!vT9z"', ["kR8#mQ2!vT9z"]),
+        ('auth_token: Optional[str] = (\n    "Zx81kQm29v"\n    "Lp44wR7t"\n)', ["Zx81kQm29v", "Lp44wR7t"]),
+        ('{"client_secret":\n  "Zx81kQm29vLp44"}', ["Zx81kQm29vLp44"]),
+        ('db_pwd = \\\n    "kR8#mQ2!vT9z"', ["kR8#mQ2!vT9z"]),
+        ('db_pwd = "kR8#mQ2" + \\\n    "!vT9zLp4"', ["kR8#mQ2", "!vT9zLp4"]),
+        ('db_pwd = """kR8#mQ2!vT9z"""', ["kR8#mQ2!vT9z"]),
+        ('self.db_pwd = b"kR8#mQ2!vT9z"', ["kR8#mQ2!vT9z"]),
+        ('db_pwd = "test9#Kq2!vT9zLp4"', ["test9#Kq2!vT9zLp4"]),
+        ('db_pwd = "some-9#Kq2!vT9zLp4"', ["some-9#Kq2!vT9zLp4"]),
+        ('db_pwd = "test-password1"', []),
+        ("credentials:\n  name: plain\n", []),
+        ('secrets:\n  "title": "Zx81kQm29vLp44"\n', []),
     ],
 )
 def test_named_literals(text, found):

@@ -40,24 +40,31 @@ NAME_SCORES = {
 }
 NEEDED = 1.4
 LEAST_VALUE = 8
-# Values that stand for a secret without being one.
+# Values that as a whole stand for a secret without being one.
+_STANDING = "your|my|some|the|insert|enter|example|sample|dummy|test|changeme|change|placeholder|todo|none|null|true|false|here|replace"
 _PLACEHOLDER = re.compile(
-    r"(?:(?:your|my|some|insert|enter)[-_ ].*|x+|\*+|\.+|-+|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\}|(?:your|my|some|the)?[-_ ]?"
-    r"(?:example|sample|dummy|test|changeme|placeholder|todo|none|null|true|false).*)",
+    r"(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\}"
+    rf"|(?=.*(?:{_STANDING}))(?:(?:{_STANDING}|password|passwd|passphrase|pwd|secret|token|api|key|access"
+    r"|client|private|credentials?|value|user|name|string|text|goes|with|me)[-_ .]*)+[0-9]{0,4})",
     re.IGNORECASE | re.DOTALL,
 )
 
 _LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r'''(?P<string>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*\'{3}'''
+    r"""|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`\n]*`)"""
     r"""|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)"""
     r"""|(?P<number>[0-9][A-Za-z0-9_.]*)"""
     r"""|(?P<sign>:=|=>|->|==|!=|<=|>=|[=:+])"""
     r"""|(?P<end>\n)"""
     r"""|(?P<other>[^\s])"""
 )
+_ANNOTATION = frozenset("[]|,?.<>")
+_PREFIXES = frozenset(("b", "r", "u", "f", "rb", "br", "rf", "fr"))
 # A value without quotes runs to white space or a separator.
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
 _HINT = re.compile(r"[=:>]")
+# Some part of a sensitive name; a text without one has no pair that counts.
+_SENSITIVE = re.compile("|".join("[_.-]*".join(w) for w, x in NAME_SCORES.items() if x > 0), re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -81,56 +88,96 @@ def value_score(value: str) -> float:
 
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that are assigned to a sensitive name, directly or through constants."""
-    if not _HINT.search(text):
+    if not _HINT.search(text) or not _SENSITIVE.search(text):
         return []
     #: Name to the value it was last given and the spans that make it up.
     constants: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     found: set[tuple[int, int]] = set()
-    # No assignment spans lines, so one line is lexed at a time.
-    start = 0
-    for line in text.splitlines(keepends=True):
-        if _HINT.search(line):
-            for target, value, spans in _assignments(line, start, constants):
-                constants[target] = (value, spans)
-                score = name_score(target)
-                if score > 0 and score + value_score(value) >= NEEDED and value_score(value) > 0:
-                    found.update(spans)
-        start += len(line)
+    for target, value, spans in _assignments(text, constants):
+        constants[target] = (value, spans)
+        score = name_score(target)
+        if score > 0 and score + value_score(value) >= NEEDED and value_score(value) > 0:
+            found.update(spans)
     return sorted(found)
 
 
-def _assignments(line: str, start: int, constants: dict):
-    """(target, value, spans) of each pair of a line, left to right."""
-    # Between a target and its literal stand only its closing quote, blanks and the sign.
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _lexed(line)]
+def _assignments(text: str, constants: dict):
+    """(target, value, spans) of each pair of a text, from its start to its end."""
+    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _LEX.finditer(text)]
     i = 0
     while i < len(tokens):
-        kind, sign, _, after = tokens[i]
+        kind, sign, _, _ = tokens[i]
         if kind != "sign" or sign not in ("=", ":", ":=", "=>") or not i:
             i += 1
             continue
-        left_kind, left, _, _ = tokens[i - 1]
-        target = left.strip("\"'`") if left_kind in ("name", "string") else ""
-        if not target or not re.fullmatch(r"[A-Za-z_][\w.-]*", target, re.ASCII):
+        target = _target(tokens, i)
+        if not target:
             i += 1
             continue
-        value, spans, i = _value(line, start, tokens, i + 1, after, constants)
+        if sign == ":":
+            i = _annotated(tokens, i)
+        value, spans, i = _value(text, tokens, i + 1, constants)
         if spans:
             yield target, value, spans
 
 
-def _lexed(line: str):
-    return _LEX.finditer(line)
+def _target(tokens: list, i: int) -> str:
+    """The name before the sign at ``i``: a word, a quoted word or the last subscript."""
+    kind, word, _, _ = tokens[i - 1]
+    if word == "]" and i > 2 and tokens[i - 3][1] == "[":
+        kind, word, _, _ = tokens[i - 2]
+    target = _inner(word) if kind == "string" else word if kind == "name" else ""
+    return target if re.fullmatch(r"[A-Za-z_][\w.-]*", target, re.ASCII) else ""
 
 
-def _value(line, start, tokens, i, after, constants):
-    """A literal, a known name, or several of them joined by ``+``."""
+def _annotated(tokens: list, i: int) -> int:
+    """The place of the ``=`` behind a type annotation that begins at ``i``; ``i`` without one."""
+    j = i + 1
+    while j < len(tokens) and (tokens[j][0] == "name" or tokens[j][1] in _ANNOTATION):
+        j += 1
+    # The sign is followed by a literal, else what looks like a type is a value.
+    if i + 1 < j < len(tokens) and tokens[j][1] == "=":
+        k = _literal(tokens, j + 1)
+        if k < len(tokens) and tokens[k][0] == "string":
+            return j
+    return i
+
+
+def _literal(tokens: list, i: int) -> int:
+    """The place of the string that begins at ``i`` or behind line ends and parentheses; else ``i``."""
+    j = i
+    while j < len(tokens) and (tokens[j][0] == "end" or tokens[j][1] in ("(", "\\")):
+        j += 1
+    if j + 1 < len(tokens) and tokens[j][1].lower() in _PREFIXES and tokens[j + 1][2] == tokens[j][3]:
+        j += tokens[j + 1][0] == "string"
+    if j == len(tokens) or tokens[j][0] != "string":
+        return i
+    # On a line of its own a quoted word with a sign is the next name.
+    crossed = any(t[0] == "end" for t in tokens[i:j])
+    if crossed and j + 1 < len(tokens) and tokens[j + 1][1] in (":", "=>", "="):
+        return i
+    return j
+
+
+def _quote(word: str) -> int:
+    return 3 if len(word) > 5 and word[:3] in ('"""', "'''") else 1
+
+
+def _inner(word: str) -> str:
+    return word[_quote(word) : -_quote(word)]
+
+
+def _value(text, tokens, i, constants):
+    """A literal, a known name, or several of them joined by ``+`` or within parentheses."""
     value, spans = "", ()
+    begin, i = i, _literal(tokens, i)
+    depth = sum(t[1] == "(" for t in tokens[begin:i])
     while i < len(tokens):
         kind, word, at, end = tokens[i]
         if kind == "string":
-            value += word[1:-1]
-            spans += ((start + at + 1, start + end - 1),) if end - at > 2 else ()
+            value += _inner(word)
+            q = _quote(word)
+            spans += ((at + q, end - q),) if end - at > 2 * q else ()
             i += 1
         elif kind in ("name", "number", "other"):
             if kind == "name" and word in constants:
@@ -138,17 +185,30 @@ def _value(line, start, tokens, i, after, constants):
                 spans += constants[word][1]
                 i += 1
             else:
-                bare = _BARE.match(line, at)
+                bare = _BARE.match(text, at)
                 if not bare or spans:
                     break
-                value, spans = bare[0], ((start + at, start + bare.end()),)
+                value, spans = bare[0], ((at, bare.end()),)
                 while i < len(tokens) and tokens[i][2] < bare.end():
                     i += 1
                 break
         else:
             break
-        if i + 1 < len(tokens) and tokens[i][1] == "+":
-            i += 1
+        # What joins the next part: a plus sign, a continued line or open parentheses.
+        j, joined = i, False
+        while j < len(tokens):
+            word = tokens[j][1]
+            if word == "+":
+                joined = True
+            elif word == "\\" and j + 1 < len(tokens) and tokens[j + 1][0] == "end":
+                joined = joined or tokens[j + 2 : j + 3] and tokens[j + 2][0] == "string"
+            elif word == "(" and joined:
+                depth += 1
+            elif tokens[j][0] != "end" or not (depth or joined):
+                break
+            j += 1
+        if j < len(tokens) and (joined or depth and tokens[j][0] == "string"):
+            i = j
             continue
         break
     return value, spans, i
@@ -171,8 +231,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end`` by start, then kind, joined by commas. Defined
     cases: a null text counts as empty and has no spans; spans of several kinds
-    may overlap and all stay; texts are scanned whole, assignments line by line
-    and constants along the text; repeated rows stay rows; an empty table gives
+    may overlap and all stay; texts are scanned whole, assignments over line
+    ends where a literal goes on or follows, constants along the text; repeated rows stay rows; an empty table gives
     no rows; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
