@@ -156,6 +156,39 @@ def test_licences_of_odd_rows(spark):
     assert license_scan.license_paragraphs(odd(spark).limit(0)).count() == 0
 
 
+def test_wrapped_and_versioned_licences(spark):
+    ordinary = [f"plain line {i} about the weather of {i * 7} towns\nand a second one {i}" for i in range(200)]
+    gpl = (
+        "int a;\n\n// This program is free software: you can redistribute it and/or modify\n"
+        "// it under the terms of the GNU General Public License as published by\n"
+        "// the Free Software Foundation, either version 3 of the License, or\n"
+        "// (at your option) any later version.\n\nint main;"
+    )
+    bsd = (
+        "# Redistribution and use in source and binary forms, with or without\n"
+        "# modification, are permitted provided that the following conditions are met:\n"
+    )
+    said = {
+        900: (gpl, [(2, "GPL-3.0")]),
+        901: (gpl.replace("version 3", "version 2"), [(2, "GPL-2.0")]),
+        902: (gpl.replace("GNU General", "GNU Affero General"), [(2, "AGPL-3.0")]),
+        903: (bsd, [(0, "BSD-3-Clause")]),
+        904: ("x = 1\n# SPDX-License-Identifier: MIT", [(1, "MIT")]),
+        905: ("/* SPDX-License-Identifier: GPL-2.0-or-later OR BSD-2-Clause */", [(0, "BSD-2-Clause"), (0, "GPL-2.0")]),
+        906: ("This work is licensed under the GNU General Public License, version 2.", [(0, "GPL-2.0")]),
+        907: ("This work is licensed under the GNU General Public License, version 7.", []),
+        908: ("Some words.\nReleased under the MIT License.\nReleased under the MIT License.\nMore words.", [(1, "MIT"), (2, "MIT")]),
+        909: (
+            " * Permission to use, copy, modify, and/or distribute this\n * software for any purpose "
+            "with or without fee is hereby\n * granted, provided that",
+            [(0, "ISC")],
+        ),
+    }
+    docs = documents(spark, [*ordinary, *((i, t) for i, (t, _) in said.items())])
+    want = sorted((i, p, f) for i, (_, finds) in said.items() for p, f in finds)
+    assert rows(license_scan.license_paragraphs(docs), "doc_id", "paragraph", "family") == want
+
+
 def test_mix_of_odd_rows(spark):
     docs = odd(spark)
     counts = mixing.mixing_counts(docs)
