@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wiretally.llm import (
     bpe,
+    centroids,
     exact_dedup,
     language_id,
     license_scan,
     line_dedup,
     mixing,
+    periodic_runs,
+    personal_data,
     quality,
     secret_scan,
     simhash,
@@ -53,8 +56,39 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": _on_documents(license_scan.license_paragraphs),
     "op9_secret_scan": _on_documents(secret_scan.secret_spans),
     "op10_exact_dedup": _on_documents(exact_dedup.exact_dedup),
+    "op11_personal_data": _on_documents(personal_data.personal_spans),
+    "op12_centroids": lambda spark, sf_dir: centroids.centroid_clusters(table(spark, sf_dir, "embeddings")),
+    "op13_periodic_runs": _on_documents(
+        lambda docs: periodic_runs.periodic_runs(docs, take=periodic_runs.rearranged)
+    ),
 }
 
+# One round of op12: the nearest centroid of each vector, and the rounded means of the clusters.
+_ASSIGNED = """
+        {a} AS (
+            SELECT k.row, k.vec_id, c.n AS cluster, c.v AS centroid,
+                   (list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, c.v)
+                    + list_dot_product(c.v, c.v))::BIGINT AS distance
+            FROM kept k CROSS JOIN {c} c
+            QUALIFY row_number() OVER (PARTITION BY k.row ORDER BY distance, c.n) = 1
+        )"""
+_MOVED = """
+        {c}s AS (
+            SELECT a.cluster, x.i, sum(x.e::BIGINT)::HUGEINT AS s, count(*) AS m
+            FROM {a} a JOIN parts x ON a.row = x.row
+            GROUP BY a.cluster, x.i
+        ), {c} AS (
+            SELECT b.n, coalesce(m.v, b.v) AS v
+            FROM {before} b LEFT JOIN (
+                SELECT cluster, list(((s - ((s % m) + m) % m) // m)::DOUBLE ORDER BY i) AS v
+                FROM {c}s GROUP BY cluster
+            ) m ON b.n = m.cluster
+        )"""
+_ROUNDS = ",".join(
+    _ASSIGNED.format(a=f"a{i}", c=f"c{i}") + ("," + _MOVED.format(a=f"a{i}", c=f"c{i + 1}", before=f"c{i}") if i < 3 else "")
+    for i in range(4)
+)
+
 ORACLE: dict[str, str] = {
     "op3_topk": """
         WITH usable AS (
@@ -136,4 +170,25 @@ ORACLE: dict[str, str] = {
         FROM digests
         WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op12_centroids": f"""
+        WITH usable AS (
+            SELECT vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), kept AS (
+            SELECT row_number() OVER () AS row, vec_id,
+                   list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+            FROM usable
+        ), parts AS (
+            SELECT row, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM kept
+        ), c0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS n, v
+            FROM kept QUALIFY n < 16
+        ),{_ROUNDS}
+        SELECT vec_id, cluster::INTEGER AS cluster, distance,
+               sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+               sum(distance) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(centroid, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+        FROM a3
+    """,
 }
