@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd, rows
-from wiretally.llm import line_dedup, near_copies, simhash
+from wiretally.llm import line_dedup, simhash
 from wiretally.llm.components import connected_components
 from wiretally.llm.exact_dedup import exact_dedup
 
@@ -152,60 +152,13 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
-def _plain_shingles(text, n=5):
-    words = (text or "").translate(LOWER).encode().split()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-
-
-def _plain_near_copies(docs):
-    """Numbers that stay, by all pairs of sets of shingles; documents have distinct numbers."""
-    sets = [_plain_shingles(t) for _, t in docs]
-    near = [
-        (i, j)
-        for i, a in enumerate(sets)
-        for j, b in enumerate(sets[:i])
-        if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
-    ]
-    roots = _plain_components(near, len(docs))
-    least = {}
-    for (doc_id, _), r in zip(docs, roots, strict=True):
-        least[r] = min(doc_id, least.get(r, doc_id))
-    return near, sorted(least.values())
-
-
-def _planted(draw):
-    """Texts with near copies on both sides of the similarity, in chains and in groups."""
-    vocabulary = [f"w{i}" for i in range(3000)]
-    texts = []
-    for size in (4, 12, 40, 150, 600, 2500):
-        for _ in range(6):
-            base = draw.choices(vocabulary, k=size)
-            texts.append(base)
-            for changes in (1, 2, max(1, size // 60), max(1, size // 45), max(1, size // 35)):
-                copy = list(base)
-                for at in draw.sample(range(size), min(size, changes)):
-                    copy[at] = draw.choice(vocabulary)
-                texts.append(copy)
-                texts.append([*copy, *draw.choices(vocabulary, k=size // 8)])
-    draw.shuffle(texts)
-    return list(enumerate(" ".join(t) for t in texts))
-
-
-@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 3])
-def test_near_copies_against_all_pairs_of_shingle_sets(spark, monkeypatch, chunk):
-    monkeypatch.setattr(near_copies.similar_links, "__defaults__", (chunk,))
-    docs = _planted(random.Random(5))
-    near, want = _plain_near_copies(docs)
-    far = [(_plain_fingerprint(docs[i][1]) ^ _plain_fingerprint(docs[j][1])).bit_count() > 2 for i, j in near]
-    assert sum(far) > 100
-    got = near_copies.drop_near_copies(documents(spark, docs))
-    assert sorted(r["doc_id"] for r in got.collect()) == want
-
-
 def test_near_copies_of_a_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    _, want = _plain_near_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
+    pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted({r for _, _, r in _expected_components(pairs)})
+    got = simhash.drop_near_copies(docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == want and len(want) < len(pairs)
+    assert got.columns == docs.columns
 
 
 def _plain_line_dedup(docs, min_words):

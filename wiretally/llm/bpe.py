@@ -28,7 +28,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from wiretally.llm.common import with_field
@@ -36,8 +35,8 @@ from wiretally.llm.common import with_field
 #: The pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Words and arcs that a task remembers; both are emptied when full.
-WORDS_KEPT = 150_000
-ARCS_KEPT = 500_000
+WORDS_KEPT = 80_000
+ARCS_KEPT = 100_000
 # Rows that a task turns into ids at a time.
 ROWS = 128
 BYTES = 1 << 20
@@ -50,10 +49,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Automaton:
-    """Tables compiled from the merges, in order, of a byte-level vocabulary."""
+class Labels:
+    """What the arcs of a byte-level vocabulary emit; all that decoding needs."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list, added: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], added: dict[str, int]):
         letters = byte_letters()
         self.labels: dict[int, bytes] = {}
         for token, i in vocabulary.items():
@@ -61,6 +60,16 @@ class Automaton:
         for token, i in added.items():
             self.labels[i] = token.encode()
         self.added = added
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Automaton(Labels):
+    """Tables compiled from the merges, in order, of a byte-level vocabulary."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, added: dict[str, int]):
+        super().__init__(vocabulary, added)
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.time = {i: 0 for i, label in self.labels.items() if len(label) == 1}
@@ -68,14 +77,21 @@ class Automaton:
         for at, merge in enumerate(merges, 1):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], at)
-        # Labels by their bytes; the token stands at -1.
-        self.trie: dict = {}
-        for i in self.time:
-            node = self.trie
-            for byte in self.labels[i]:
-                node = node.setdefault(byte, {})
-            node[-1] = i
-        self.sizes = {i: len(label) for i, label in self.labels.items()}
+        # Labels as a table of steps from place and byte to place, and the token that ends there.
+        self.steps: dict[int, int] = {}
+        self.ended: list[int] = [-1]
+        #: The longest token that a token's label begins with, other than itself.
+        self.shorter: dict[int, int] = {}
+        for token in sorted(self.time, key=lambda i: len(self.labels[i])):
+            place, last = 0, -1
+            for byte in self.labels[token]:
+                last = self.ended[place] if self.ended[place] >= 0 else last
+                step = place << 8 | byte
+                place = self.steps.get(step, 0)
+                if not place:
+                    place = self.steps[step] = len(self.ended)
+                    self.ended.append(-1)
+            self.ended[place], self.shorter[token] = token, last
         self.arcs: dict[int, bool] = {}
         # Words met lately, and those met before them.
         self.words: dict[str, tuple[int, ...]] = {}
@@ -110,43 +126,43 @@ class Automaton:
         Longer labels are tried first. A position is reached with one state only,
         so one that led nowhere is not tried again.
         """
-        trie, sizes, arcs = self.trie, self.sizes, self.arcs
-        n, at, state = len(word), 0, -1
-        path: list[int] = []
-        choices: list[list[int]] = []
+        steps, ended, labels, shorter = self.steps.get, self.ended, self.labels, self.shorter
+        arcs, arcs_get, n = self.arcs, self.arcs.get, len(word)
+        at, state, path = 0, -1, []
         dead: set[int] = set()
         while at < n:
-            # Labels that go on from here, the longest last.
-            here, node, end = [], trie, at
+            # The longest label that goes on from here.
+            token, place, end = -1, 0, at
             while end < n:
-                node = node.get(word[end])
-                if node is None:
+                place = steps(place << 8 | word[end])
+                if place is None:
                     break
                 end += 1
-                if -1 in node:
-                    here.append(node[-1])
+                if ended[place] >= 0:
+                    token = ended[place]
             while True:
-                if not here:
-                    # Nothing leads on from here: take back the last arc.
+                if token < 0:
+                    # Nothing leads on from here: take back the last arc for a shorter one.
                     dead.add(at)
-                    at -= sizes[path.pop()]
-                    here, state = choices.pop(), path[-1] if path else -1
+                    last = path.pop()
+                    at -= len(labels[last])
+                    token, state = shorter[last], path[-1] if path else -1
                     continue
-                token = here.pop()
-                if state >= 0:
+                end = at + len(labels[token])
+                if end not in dead:
+                    if state < 0:
+                        break
                     key = state << 32 | token
-                    arc = arcs.get(key)
+                    arc = arcs_get(key)
                     if arc is None:
                         if len(arcs) >= ARCS_KEPT:
                             arcs.clear()
                         arc = arcs[key] = self.has_arc(state, token)
-                    if not arc:
-                        continue
-                if at + sizes[token] not in dead:
-                    break
-            choices.append(here)
+                    if arc:
+                        break
+                token = shorter[token]
             path.append(token)
-            at, state = at + sizes[token], token
+            at, state = end, token
         return tuple(path)
 
     def _missed(self, word: str) -> tuple[int, ...]:
@@ -184,9 +200,6 @@ class Automaton:
             elif part:
                 yield part, None
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
-
 
 # Printing ASCII, line ends, tabs and Latin letters: in such text these classes are the
 # pattern's classes.
@@ -209,16 +222,17 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-_COMPILED: dict[str, Automaton] = {}
+_COMPILED: dict[tuple[type, str], Labels] = {}
 
 
-def compiled(vocabulary: str) -> Automaton:
-    """The automaton of a vocabulary file's text; a worker compiles it once."""
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+def compiled(vocabulary: str, kind: type = Automaton):
+    """The automaton, or the labels alone, of a vocabulary file's text; a worker compiles it once."""
+    key = kind, hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _COMPILED:
         file = json.loads(vocabulary)
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
-        _COMPILED[key] = Automaton(file["model"]["vocab"], file["model"]["merges"], added)
+        merges = [file["model"]["merges"]] if kind is Automaton else []
+        _COMPILED[key] = kind(file["model"]["vocab"], *merges, added)
     return _COMPILED[key]
 
 
@@ -263,12 +277,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", column: str = "decod
     vocabulary = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = compiled(vocabulary.value)
+        labels = compiled(vocabulary.value, Labels)
         for batch in _slices(batches, ids):
             lists = batch.column(ids)
             values = lists.flatten().to_numpy().tolist()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
-            texts = [automaton.decode(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            texts = [labels.decode(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column]
             )
@@ -277,11 +291,30 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", column: str = "decod
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; cases as in ``encode``."""
-    encoded = encode(docs.select("doc_id", "text"), path).drop("text")
-    return decode(encoded, path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; cases as in ``encode``.
+
+    Texts are encoded and decoded in one pass, a row at a time, so that neither
+    ids nor decoded texts travel.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = compiled(vocabulary.value)
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                ids = automaton.encode(text.as_py() or "")
+                said, decoded = ",".join(map(str, ids)), automaton.decode(ids)
+                rows.append(
+                    (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (said, decoded)))
+                )
+            kinds = (pa.int64(), pa.string(), pa.string())
+            arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        of_batches, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

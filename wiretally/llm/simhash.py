@@ -15,12 +15,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import staged
 from wiretally.llm.components import connected_components
-from wiretally.llm.near_copies import drop_near_copies  # noqa: F401
 
 SHINGLE = 3
 RADIUS = 2
@@ -238,3 +237,35 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("c_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component that of the smallest ``doc_id``.
+
+    Null ids come last; rows of one ``doc_id`` are told apart by a hash of their
+    text, and of fully repeated rows one stays. Other cases are those of
+    ``simhash_components``; columns of any name are kept.
+    """
+    keys = [
+        F.col("doc_id").isNull().alias("k_null"),
+        F.coalesce(F.col("doc_id"), F.lit(0)).alias("k_id"),
+        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k_text"),
+    ]
+    marked = staged(
+        fingerprints(docs.select(F.struct(*keys).alias("doc_id"), "text")), "fingerprints"
+    )
+    stays = (
+        marked.join(_components(marked), F.col("fp") == F.col("c_fp"))
+        .groupBy("root")
+        .agg(F.min("doc_id").alias("k"))
+        .select("k.*")
+    )
+    names = ["k_null", "k_id", "k_text"]
+    first = Window.partitionBy(*names).orderBy(F.lit(1))
+    return (
+        docs.select(F.struct("*").alias("doc"), *keys)
+        .join(staged(stays, "stays").hint("merge"), names, "left_semi")
+        .withColumn("copy", F.row_number().over(first))
+        .where("copy = 1")
+        .select("doc.*")
+    )
