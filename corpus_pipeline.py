@@ -12,8 +12,8 @@ from wiretally.llm.common import staged, table
 from wiretally.llm.line_dedup import drop_repeated_runs
 from wiretally.llm.mixing import mix_sources
 from wiretally.llm.quality import keep_good
-from wiretally.llm.near_copies import drop_near_copies
 from wiretally.llm.queries import VOCABULARY
+from wiretally.llm.simhash import drop_near_copies
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles and similarity 0.8."""
+    """One document of each group whose fingerprints of three-word shingles link at two bits."""
     return drop_near_copies(docs)
 
 
