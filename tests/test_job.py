@@ -2,6 +2,7 @@ import json
 
 from tests.fixtures import SMALL_CAPTURE
 from wiretally.__main__ import main
+from wiretally.operators.ranking import GROUP_LIMIT
 
 
 def test_whole_job_from_files(spark, tmp_path):
@@ -19,9 +20,12 @@ def test_whole_job_from_files(spark, tmp_path):
         "--packets", str(tmp_path / "packets"),
         "--report", str(tmp_path / "reports"),
     ]
+    limit = spark.conf.get(GROUP_LIMIT)
     main([*arguments, "--run-id", "first", "--tables", str(tmp_path / "tables")])
     main([*arguments, "--run-id", "second", "--hosts", "1", "--pairs", "1"])
 
+    assert spark.conf.get(GROUP_LIMIT) == limit
+
     stored = {
         document["run_id"]: document
         for path in (tmp_path / "reports" / "header").glob("*.json")

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from wiretally.operators import geo, pairs, rates, talkers
-from wiretally.operators.ranking import GROUP_LIMIT
 from wiretally.plans.report import build_report
 from wiretally.schema import ROLES, TOP_HOSTS, TOP_PAIRS
 from wiretally.sinks import write_report, write_table
@@ -44,9 +43,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--drop-blank-ip", action="store_true")
     args = parser.parse_args(argv)
 
-    # Each input partition then forwards no more pairs than a list has.
-    limit = str(max(1000, args.hosts, args.pairs))
-    spark = SparkSession.builder.appName("wiretally").config(GROUP_LIMIT, limit).getOrCreate()
+    # A session that already runs is taken as it is.
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("wiretally").getOrCreate()
     paths = {"normal": args.normal, "attack": args.attack}
     packets = read_captures(spark, paths, args.drop_blank_ip)
     if args.packets:

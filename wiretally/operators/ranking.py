@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import isqrt
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark keeps only k rows per input partition before the ranking shuffle. A job
-# that ranks more sets it where it builds its session; nothing here changes a session.
+# Up to this k Spark itself keeps only k rows per input partition before a ranking shuffle. The
+# value is read to choose how rows are dealt; results and task sizes do not depend on it.
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Lanes of one round that meet in one lane of the next.
+FAN_IN = 16
+
+
+def lanes_by_round(tasks: int) -> list[int]:
+    """How many lanes the rounds of a ranking over ``tasks`` tasks have, the last one aside."""
+    rounds = []
+    while tasks > 1:
+        rounds.append(tasks)
+        tasks = ceil(tasks / FAN_IN)
+    return rounds
 
 
 def top_k(
@@ -23,24 +34,35 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` rows of highest ``metric`` per group, with a ``rank`` from 1.
 
-    ``ties`` (ascending) must make the order total. The rows that input
-    partitions forward meet in about as many intermediate tasks as the square root of
-    the session's shuffle partitions, and their winners in one task per group.
+    ``ties`` (ascending) must make the order total. A tournament: each of the
+    session's shuffle tasks ranks its own lane and forwards ``k`` rows of a group, ``FAN_IN``
+    lanes meet in one, and so on to one lane per group. So a task sorts its share of
+    the rows in the first round and at most ``FAN_IN * k`` later, whatever the
+    optimizer does. A column ``rank`` of ``df`` is replaced.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    tasks = max(2, isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
+    conf = df.sparkSession.conf
+    rounds = lanes_by_round(int(conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(metric).desc(), *[F.col(c).asc() for c in ties]]
+    # A name that no column has.
+    lane = "_lane" + "_" * max(map(len, df.columns))
 
     def ranked(rows: DataFrame, *groups: str) -> DataFrame:
         window = Window.partitionBy(*by, *groups).orderBy(*order)
         number = F.row_number().over(window)
         return rows.withColumn("rank", number).where(F.col("rank") <= k)
 
-    # Any split of the rows into groups leaves the overall winners unchanged.
-    df = df.withColumn("_merge", F.spark_partition_id() % tasks)
-    df = ranked(df, "_merge").drop("_merge", "rank")
+    if rounds:
+        # Where Spark limits rows before the shuffle, a partition forwards k of them; otherwise
+        # all rows move, and are dealt evenly. Any lanes leave the overall winners unchanged.
+        limited = k <= int(conf.get(GROUP_LIMIT))
+        number = F.spark_partition_id() if limited else F.xxhash64(*by, metric, *ties)
+        df = df.withColumn(lane, F.pmod(number, F.lit(rounds[0])))
+    for lanes in rounds:
+        df = df.withColumn(lane, F.pmod(lane, F.lit(lanes)))
+        df = ranked(df, lane).drop("rank")
+    df = df.drop(lane)
     return ranked(df).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -51,7 +73,8 @@ def dense_index(
 
     ``block`` is a coarser value that rises with ``order`` and is shared by a
     bounded number of rows. Rows are sorted inside their block only; the block
-    sizes alone, one row per block, are summed up along the group.
+    sizes alone, one row per block, are summed up along the group. Columns named
+    ``idx``, ``_block`` or ``_rows`` are replaced.
     """
     rest = [c for c in df.columns if c not in by and c != order]
     blocks = (
