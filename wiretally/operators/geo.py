@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.functions.columns import ip_to_long
+from wiretally.functions.columns import ip_to_long, mapped_address
+from wiretally.operators.geo6 import locate6
 from wiretally.operators.ranking import top_k
 from wiretally.schema import COORDINATE_NOT_FOUND, NAME_NOT_FOUND
 
@@ -129,6 +130,11 @@ def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame
         .where("row is not null")
         .select("row.*", F.expr(f"greatest({holding})").alias("hit"))
     )
+    return _with_attributes(located, kept)
+
+
+def _with_attributes(located: DataFrame, kept: list[str]) -> DataFrame:
+    """``kept`` with the attributes of ``hit``, or their defaults without one."""
     found = F.col("hit").isNotNull()
 
     def attribute(name: str, default: object) -> Column:
@@ -144,14 +150,36 @@ def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame
     )
 
 
-def geo_lookup(addresses: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(ip, found, country, city, latitude, longitude)``, one row per distinct ``ip``."""
-    return locate(addresses.select("ip").distinct(), blocks)
+def geo_lookup(addresses: DataFrame, blocks: DataFrame, networks6: DataFrame | None = None) -> DataFrame:
+    """``(ip, found, country, city, latitude, longitude)``, one row per distinct ``ip``.
+
+    ``blocks`` locate IPv4 addresses and, if given, ``networks6`` those of IPv6.
+    """
+    distinct = addresses.select("ip").distinct()
+    return locate(distinct, blocks) if networks6 is None else locate_mixed(distinct, blocks, networks6)
+
+
+def locate_mixed(
+    rows: DataFrame, blocks: DataFrame, networks6: DataFrame, address: str = "ip"
+) -> DataFrame:
+    """``locate`` for addresses of both families; IPv4-mapped ones are located as IPv4."""
+    kept = rows.columns
+    # Names that no column has.
+    number, text = ("_" * max(map(len, kept)) + n for n in ("_number", "_dotted"))
+    numbered = rows.withColumn(number, mapped_address(address))
+    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)]
+    four = numbered.where(F.col(number).isNotNull()).withColumn(text, F.concat_ws(".", *octets))
+    six = numbered.where(F.col(number).isNull()).drop(number)
+    return (
+        locate(four, blocks, text)
+        .drop(number, text)
+        .unionByName(_with_attributes(locate6(six, networks6, address), kept))
+    )
 
 
-def geo_map(packets: DataFrame, blocks: DataFrame) -> DataFrame:
+def geo_map(packets: DataFrame, blocks: DataFrame, networks6: DataFrame | None = None) -> DataFrame:
     """``(ip, longitude, latitude)`` of every address seen."""
-    return geo_lookup(distinct_ips(packets), blocks).select("ip", "longitude", "latitude")
+    return geo_lookup(distinct_ips(packets), blocks, networks6).select("ip", "longitude", "latitude")
 
 
 def top_countries(

@@ -12,7 +12,7 @@ from wiretally.operators import geo, hosts, pairs, rates, talkers
 from wiretally.plans.flatten import report_values
 from wiretally.plans.report import build_report
 from wiretally.schema import CAPTURES
-from wiretally.sources.geo import conform_blocks, count_block_rejects
+from wiretally.sources.geo import conform_blocks, conform_networks6, count_block_rejects
 from wiretally.sources.packets import (
     conform,
     count_rejects,
@@ -23,6 +23,8 @@ from wiretally.sources.packets import (
 )
 from wiretally.sources.tables import (
     geo_view,
+    mixed_addresses_view,
+    mixed_networks_view,
     networks_view,
     packet_lines_view,
     packets_view,
@@ -111,6 +113,12 @@ def _profile(p: DataFrame, g: DataFrame) -> DataFrame:
     )
 
 
+def _mixed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    networks = mixed_networks_view(spark, sf_dir)
+    addresses = mixed_addresses_view(spark, sf_dir)
+    return geo.geo_lookup(addresses, conform_blocks(networks), conform_networks6(networks))
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's values, from its header and tables."""
     return _on_both(lambda p, g: report_values(build_report(p, g, run_id="check")))(spark, sf_dir)
@@ -126,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "typed_rejects": _on_packets(lambda p: count_typed_rejects(rough_packets(p))),
     "geo_blocks": lambda spark, sf: conform_blocks(geo_view(spark, sf)),
     "geo_networks": lambda spark, sf: conform_blocks(networks_view(spark, sf)),
+    "geo_networks6": lambda spark, sf: conform_networks6(mixed_networks_view(spark, sf)),
     "block_rejects": lambda spark, sf: union_captures(
         [count_block_rejects(t(spark, sf)) for t in (networks_view, rough_ranges)]
     ),
@@ -181,6 +190,7 @@ QUERIES: dict[str, Query] = {
         lambda p: hosts.host_packets(p, talkers.top_hosts(p, "src"))
     ),
     "geo_lookup": _on_both(lambda p, g: geo.geo_lookup(geo.distinct_ips(p), g)),
+    "geo_lookup_mixed": _mixed_lookup,
     "geo_country": _attribute("country"),
     "geo_city": _attribute("city"),
     "geo_location": _attribute("latitude", "longitude"),

@@ -315,6 +315,46 @@ def _report_values() -> str:
 
 ALL_COLUMNS = "capture, src, dst, data_length, protocol_name, protocol_number, arrival_time"
 
+# The first half of 2001:db0:: and of 2001:db8::, as numbers.
+NET_DB0, NET_DB8 = (0x2001 << 48) + (0xDB0 << 32), (0x2001 << 48) + (0xDB8 << 32)
+NETWORKS6 = f"""networks6 AS (
+  SELECT CAST({NET_DB8} + n_nationkey * 4 * 65536 AS BIGINT) AS hi, CAST(0 AS BIGINT) AS lo,
+         46 AS prefix_len, n_name AS country, CAST(NULL AS VARCHAR) AS city,
+         n_nationkey * 1.5::DOUBLE AS latitude, 0.5::DOUBLE - n_nationkey * 1.5::DOUBLE AS longitude
+  FROM nation
+  UNION ALL
+  SELECT CAST({NET_DB8} + (n_nationkey * 4 + 1) * 65536 AS BIGINT), 0, 48, n_name,
+         'CITY_' || CAST(n_nationkey AS VARCHAR), n_nationkey * 2.5::DOUBLE, 0.5::DOUBLE - n_nationkey * 2.5::DOUBLE
+  FROM nation
+  UNION ALL
+  SELECT CAST({NET_DB0} + r_regionkey * 8 * 4294967296 AS BIGINT), 0, 29, r_name, NULL,
+         r_regionkey * 1.0::DOUBLE, 0.5::DOUBLE - r_regionkey * 1.0::DOUBLE
+  FROM region)"""
+# Hosts of both families with the network they are in, by the views' own numbers.
+MIXED = """hosts AS (
+  SELECT DISTINCT user_id % 128 AS net, user_id // 128 % 256 AS host, user_id % 16 AS last, user_id FROM events
+), mixed AS (
+  SELECT '2001:db8:' || lower(to_hex(net)) || '::' || lower(to_hex(host + 1)) AS ip,
+         net // 4 AS nation, CAST(1 AS BIGINT) AS region,
+         CASE WHEN net // 4 > 24 THEN 'region' WHEN net % 4 = 1 THEN 'city' ELSE 'nation' END AS kind
+  FROM hosts
+  UNION ALL
+  SELECT '::FFFF:10.0.' || CAST(net AS VARCHAR) || '.' || CAST(host AS VARCHAR), net, 0, 'four' FROM hosts
+  UNION ALL
+  SELECT '2001:db' || lower(to_hex(last)) || ':ffff:0:0:0:0:1', 0, last // 8, 'region' FROM hosts
+  UNION ALL SELECT '2001:db8::g', -1, 0, 'none' FROM hosts
+  UNION ALL
+  SELECT '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR), user_id // 256, 0, 'four'
+  FROM hosts
+), placed AS (
+  SELECT DISTINCT m.ip, m.kind,
+         CASE WHEN m.kind = 'region' THEN r.r_name WHEN m.kind <> 'none' THEN n.n_name END AS country,
+         CASE WHEN m.kind = 'city' THEN 'CITY_' || CAST(n.n_nationkey AS VARCHAR) END AS city,
+         CASE m.kind WHEN 'region' THEN r.r_regionkey * 1.0::DOUBLE WHEN 'nation' THEN n.n_nationkey * 1.5::DOUBLE
+              WHEN 'city' THEN n.n_nationkey * 2.5::DOUBLE WHEN 'four' THEN n.n_nationkey * 3.5::DOUBLE END AS latitude
+  FROM mixed m LEFT JOIN nation n ON n.n_nationkey = m.nation LEFT JOIN region r ON r.r_regionkey = m.region)"""
+
+
 ORACLE: dict[str, str] = {
     "packets_scan": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
     "packets_parse": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
@@ -337,9 +377,17 @@ GROUP BY reason""",
 ip_from // (1 << (32 - prefix_len)) * (1 << (32 - prefix_len)) + (1 << (32 - prefix_len)) - 1 AS ip_to,
 prefix_len, country, city, latitude, longitude FROM blocks
 WHERE latitude IS NOT NULL AND ip_from - 167772160 < 256""",
+    "geo_networks6": _with(NETWORKS6)
+    + "SELECT hi, lo, prefix_len, country, city, latitude, longitude FROM networks6",
+    "geo_lookup_mixed": _with(MIXED)
+    + """SELECT ip, country IS NOT NULL AS found, coalesce(country, 'not found') AS country,
+CASE WHEN country IS NULL THEN 'not found' ELSE city END AS city,
+coalesce(latitude, 0.0::DOUBLE) AS latitude,
+CASE WHEN country IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE - latitude END AS longitude
+FROM placed""",
     "block_rejects": _with(BLOCKS)
     + """SELECT 'network' AS reason, count(*) AS n FROM blocks
-WHERE latitude IS NULL OR ip_from - 167772160 >= 256
+WHERE latitude IS NOT NULL AND ip_from - 167772160 >= 256
 UNION ALL SELECT 'range', count(*) FROM blocks WHERE ip_from % 3 = 0""",
     "project_endpoints": _packets("SELECT src, dst FROM packets"),
     "filter_src": _packets(f"SELECT {ALL_COLUMNS} FROM packets WHERE src = '{FILTER_SRC}'"),

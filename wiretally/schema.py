@@ -45,6 +45,17 @@ GEO_SCHEMA = _struct(
     longitude=_DOUBLE,
 )
 
+# IPv6 networks: the first address's 128 bits as two numbers.
+NETWORK6_SCHEMA = _struct(
+    hi=_LONG,
+    lo=_LONG,
+    prefix_len=T.IntegerType(),
+    country=_STRING,
+    city=_STRING,
+    latitude=_DOUBLE,
+    longitude=_DOUBLE,
+)
+
 RATE_SCHEMA = _struct(
     **{
         f"{capture}_{name}": kind

@@ -120,3 +120,51 @@ def rough_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"if({turned}, ip_to, ip_from)").alias("ip_from"),
         F.expr(f"if({turned}, ip_from, ip_to)").alias("ip_to"),
     )
+
+
+def mixed_networks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of both families: a /46 and a longer /48 per nation and a /24 of IPv4, a /30 per region.
+
+    Nation n has 2001:db8:4n::/46 and within it 2001:db8:4n+1::/48, and
+    10.0.n.0/24; region r has 2001:db0+8r::/29, one of which holds all nations.
+    """
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    key, names = F.col("n_nationkey"), ("network", "country", "city", "latitude", "longitude")
+
+    def group(value) -> F.Column:
+        return F.lower(F.hex(value))
+
+    def rows(table, network, name, city, latitude):
+        place = (latitude, F.lit(0.5) - latitude)
+        return table.select(*[c.alias(n) for c, n in zip((network, name, city, *place), names, strict=True)])
+
+    none = F.lit(None).cast("string")
+    return (
+        rows(nation, F.concat(F.lit("2001:db8:"), group(key * 4), F.lit("::/46")), F.col("n_name"), none, key * F.lit(1.5))
+        .union(
+            rows(
+                nation, F.concat(F.lit("2001:0DB8:"), group(key * 4 + 1), F.lit(":0::0/48")), F.col("n_name"),
+                F.concat(F.lit("CITY_"), key), key * F.lit(2.5),
+            )
+        )
+        .union(rows(nation, F.concat(F.lit("10.0."), key, F.lit(".0/24")), F.col("n_name"), none, key * F.lit(3.5)))
+        .union(
+            rows(
+                region, F.concat(F.lit("2001:"), group(F.col("r_regionkey") * 8 + 0xDB0), F.lit("::/29")),
+                F.col("r_name"), none, F.col("r_regionkey") * F.lit(1.0),
+            )
+        )
+    )
+
+
+def mixed_addresses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of both families: each user's IPv6 and mapped address beside the packets' own."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id")
+    net, host = F.expr("user_id % 128"), F.expr("user_id div 128 % 256")
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(net)), F.lit("::"), F.lower(F.hex(host + 1)))
+    mapped = F.concat(F.lit("::FFFF:10.0."), net, F.lit("."), host)
+    other = F.concat(F.lit("2001:db"), F.lower(F.hex(F.expr("user_id % 16"))), F.lit(":ffff:0:0:0:0:1"))
+    return users.select(F.explode(F.array(six, mapped, other, F.lit("2001:db8::g"))).alias("ip")).union(
+        packets_view(spark, sf_dir).select("src")
+    )
