@@ -10,18 +10,26 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wiretally.operators import geo, pairs, rates, talkers
 from wiretally.plans.report import build_report
 from wiretally.schema import ROLES, TOP_HOSTS, TOP_PAIRS
 from wiretally.sinks import write_report, write_table
 from wiretally.sources.geo import (
+    conform_blocks,
+    conform_networks6,
     count_block_rejects,
+    network_locations,
     read_block_table,
-    read_geo_blocks,
-    read_network_locations,
 )
-from wiretally.sources.packets import count_capture_rejects, read_captures, write_packets
+from wiretally.sources.packets import (
+    count_capture_rejects,
+    count_rejected,
+    read_captures,
+    split_captures,
+    write_packets,
+)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -34,7 +42,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--report", required=True, help="folder the report is appended to")
     parser.add_argument("--report-format", default="json")
     parser.add_argument("--packets", help="keep the typed packets here and read them back")
-    parser.add_argument("--rejects", help="folder for counts of unusable lines and blocks")
+    parser.add_argument("--rejects", help="folder for counts of unusable lines and blocks; with --packets, for the lines too")
     parser.add_argument("--tables", help="folder for the result tables, each replaced")
     parser.add_argument("--run-id")
     parser.add_argument("--hosts", type=int, default=TOP_HOSTS, help="hosts per list")
@@ -46,27 +54,44 @@ def main(argv: Sequence[str] | None = None) -> None:
     # A session that already runs is taken as it is.
     spark = SparkSession.getActiveSession() or SparkSession.builder.appName("wiretally").getOrCreate()
     paths = {"normal": args.normal, "attack": args.attack}
-    packets = read_captures(spark, paths, args.drop_blank_ip)
-    if args.packets:
-        packets = write_packets(packets, args.packets)
+    rejects = None
+    if args.packets and args.rejects:
+        # One pass over the text keeps both.
+        packets, rejects = split_captures(spark, paths, args.packets)
+        if args.drop_blank_ip:
+            packets = packets.where((F.col("src") != "") & (F.col("dst") != ""))
+    else:
+        packets = read_captures(spark, paths, args.drop_blank_ip)
+        if args.packets:
+            packets = write_packets(packets, args.packets)
     if args.locations:
-        blocks = read_network_locations(spark, args.blocks, args.locations)
+        table = network_locations(spark, args.blocks, args.locations)
     else:
-        blocks = read_geo_blocks(spark, args.blocks, args.blocks_format)
+        table = read_block_table(spark, args.blocks, args.blocks_format)
+    blocks = conform_blocks(table)
+    networks6 = conform_networks6(table) if "network" in table.columns else None
     if args.rejects:
-        write_table(count_capture_rejects(spark, paths), f"{args.rejects}/packets")
-        fmt = "csv" if args.locations else args.blocks_format
-        table = read_block_table(spark, args.blocks, fmt)
+        counts = count_capture_rejects(spark, paths) if rejects is None else count_rejected(rejects)
+        write_table(counts, f"{args.rejects}/packets")
+        if rejects is not None:
+            write_table(rejects, f"{args.rejects}/lines")
         write_table(count_block_rejects(table), f"{args.rejects}/blocks")
     if args.tables:
-        for name, table in result_tables(packets, blocks, args.hosts, args.pairs).items():
-            write_table(table, f"{args.tables}/{name}")
-    report = build_report(packets, blocks, args.run_id, args.hosts, args.pairs, args.zone)
+        tables = result_tables(packets, blocks, args.hosts, args.pairs, networks6)
+        for name, result in tables.items():
+            write_table(result, f"{args.tables}/{name}")
+    report = build_report(
+        packets, blocks, args.run_id, args.hosts, args.pairs, args.zone, networks6
+    )
     write_report(report, args.report, args.report_format)
 
 
 def result_tables(
-    packets: DataFrame, blocks: DataFrame, hosts_k: int, pairs_k: int
+    packets: DataFrame,
+    blocks: DataFrame,
+    hosts_k: int,
+    pairs_k: int,
+    networks6: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The lists and series that a report starts from, by table name."""
     top = {
@@ -78,7 +103,7 @@ def result_tables(
         "rates": rates.with_index(rates.traffic_per_bucket(packets)),
         "pairs": pairs.top_pairs(packets, pairs_k),
         "victims": pairs.top_victims(packets, pairs_k),
-        "map": geo.geo_map(packets, blocks),
+        "map": geo.geo_map(packets, blocks, networks6),
     }
 
 

@@ -32,20 +32,45 @@ def with_index(series: DataFrame) -> DataFrame:
     return dense_index(series, "second", F.shiftright("second", _BLOCK_BITS))
 
 
-def packets_per_second(packets: DataFrame, width: int = 1) -> DataFrame:
-    """``(capture, second, idx, value)``: packets per bucket."""
-    return _series(packets, "packets", width)
+def with_idle(series: DataFrame, width: int = 1) -> DataFrame:
+    """``series`` with a row of zeros for each bucket without a packet between a capture's first and last.
 
+    Idle buckets are made per numbering block, each block in a task that the
+    shuffle gives it; the driver sees none of them. A capture's span decides how
+    many rows there are.
+    """
+    metrics = [c for c in series.columns if c not in ("capture", "second")]
+    step = width << _BLOCK_BITS
+    spans = series.groupBy("capture").agg(F.min("second").alias("first"), F.max("second").alias("last"))
+    blocks = spans.selectExpr("capture", "last", f"explode(sequence(first, last, {step}L)) as begin")
+    idle = blocks.repartition("capture", "begin").selectExpr(
+        "capture",
+        f"explode(sequence(begin, least(begin + {step - width}L, last), {width}L)) as second",
+        *[f"cast(0 as {dict(series.dtypes)[m]}) as {m}" for m in metrics],
+    )
+    return (
+        series.unionByName(idle)
+        .groupBy("capture", "second")
+        .agg(*[F.sum(m).cast(dict(series.dtypes)[m]).alias(m) for m in metrics])
+    )
+
+
+def packets_per_second(packets: DataFrame, width: int = 1, idle: bool = False) -> DataFrame:
+    """``(capture, second, idx, value)``: packets per bucket, those without one too if ``idle``."""
+    return _series(packets, "packets", width, idle)
 
-def bytes_per_second(packets: DataFrame, width: int = 1) -> DataFrame:
-    """``(capture, second, idx, value)``: bytes per bucket."""
-    return _series(packets, "bytes", width)
 
+def bytes_per_second(packets: DataFrame, width: int = 1, idle: bool = False) -> DataFrame:
+    """``(capture, second, idx, value)``: bytes per bucket, those without one too if ``idle``."""
+    return _series(packets, "bytes", width, idle)
 
-def _series(packets: DataFrame, metric: str, width: int) -> DataFrame:
+
+def _series(packets: DataFrame, metric: str, width: int, idle: bool) -> DataFrame:
     series = traffic_per_bucket(packets, width).select(
         "capture", "second", F.col(metric).alias("value")
     )
+    if idle:
+        series = with_idle(series, width)
     return with_index(series).select("capture", "second", "idx", "value")
 
 
@@ -55,18 +80,22 @@ def protocol_per_second(packets: DataFrame, width: int = 1) -> DataFrame:
     return with_index(series).select("capture", "second", "idx", *BUCKETS)
 
 
-def rate_summary(packets: DataFrame, metric: str = "packets", width: int = 1) -> DataFrame:
-    """``(capture, average, minimum, maximum)`` over the buckets with a packet."""
+def rate_summary(
+    packets: DataFrame, metric: str = "packets", width: int = 1, idle: bool = False
+) -> DataFrame:
+    """``(capture, average, minimum, maximum)`` over the buckets with a packet.
+
+    With ``idle`` those without one between a capture's first and last count as
+    zeros; their number follows from the span, so none of them is made.
+    """
     value = F.col(metric)
-    return (
-        traffic_per_bucket(packets, width)
-        .groupBy("capture")
-        .agg(
-            F.avg(value).alias("average"),
-            F.min(value).alias("minimum"),
-            F.max(value).alias("maximum"),
-        )
-    )
+    totals = traffic_per_bucket(packets, width).groupBy("capture")
+    average, minimum, maximum = F.avg(value), F.min(value), F.max(value)
+    if idle:
+        buckets = (F.max("second") - F.min("second")) / width + 1
+        average = F.sum(value) / buckets
+        minimum = F.when(F.count("*") < buckets, F.least(F.lit(0), minimum)).otherwise(minimum)
+    return totals.agg(average.alias("average"), minimum.alias("minimum"), maximum.alias("maximum"))
 
 
 def protocol_distribution(packets: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import epoch_second, protocol_bucket, readable_time
-from wiretally.operators import geo, hosts, pairs, rates, talkers
+from wiretally.operators import geo, hosts, pairs, rates, talkers, totals
 from wiretally.plans.flatten import report_values
 from wiretally.plans.report import build_report
 from wiretally.schema import CAPTURES
+from wiretally.sinks import new_folder, write_table
 from wiretally.sources.geo import conform_blocks, conform_networks6, count_block_rejects
 from wiretally.sources.packets import (
     conform,
@@ -19,7 +20,10 @@ from wiretally.sources.packets import (
     count_typed_rejects,
     packet_text,
     parse_lines,
+    read_captures,
+    split_captures,
     union_captures,
+    write_packet_text,
 )
 from wiretally.sources.tables import (
     geo_view,
@@ -113,6 +117,41 @@ def _profile(p: DataFrame, g: DataFrame) -> DataFrame:
     )
 
 
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets written as exporter text files, one folder a capture, and read from these."""
+    p, folder = packets_view(spark, sf_dir), new_folder(spark, "text")
+    for c in CAPTURES:
+        write_packet_text(p.where(F.col("capture") == c), f"{folder}/{c}")
+    return read_captures(spark, {c: f"{folder}/{c}" for c in CAPTURES})
+
+
+def _rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unusable lines of text files, from the pass that types the others."""
+    lines, folder = packet_lines_view(spark, sf_dir), new_folder(spark, "text")
+    for c in CAPTURES:
+        lines.where(F.col("capture") == c).select("value").write.text(f"{folder}/{c}")
+    paths = {c: f"{folder}/{c}" for c in CAPTURES}
+    rejects = split_captures(spark, paths, new_folder(spark, "split"))[1]
+    fields = F.split("line", ",")
+    return rejects.select("capture", "reason", fields[0].alias("src"), F.size(fields).alias("fields"))
+
+
+def _written_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table as written and read back."""
+    folder = new_folder(spark, "top")
+    write_table(talkers.top_hosts(packets_view(spark, sf_dir), "src"), folder)
+    return spark.read.parquet(folder).select("capture", "rank", "ip", "n")
+
+
+def _kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair totals merged from two sources, one of them added twice."""
+    p, folder = packets_view(spark, sf_dir), new_folder(spark, "totals")
+    odd = F.col("data_length") % 2 == 1
+    for source, rows in (("even", p.where(~odd)), ("odd", p.where(odd)), ("odd", p.where(odd))):
+        totals.add_source(rows, folder, source)
+    return totals.pair_totals(spark, folder)
+
+
 def _mixed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     networks = mixed_networks_view(spark, sf_dir)
     addresses = mixed_addresses_view(spark, sf_dir)
@@ -130,6 +169,8 @@ QUERIES: dict[str, Query] = {
     "packets_parse": _parse,
     "packets_text": _text_form,
     "packets_rejects": lambda spark, sf: count_rejects(packet_lines_view(spark, sf)),
+    "packets_text_files": _text_files,
+    "rejected_lines": _rejected_lines,
     "capture_union": _on_packets(_union),
     "typed_rejects": _on_packets(lambda p: count_typed_rejects(rough_packets(p))),
     "geo_blocks": lambda spark, sf: conform_blocks(geo_view(spark, sf)),
@@ -167,6 +208,16 @@ QUERIES: dict[str, Query] = {
     "byte_rate_summary": _summary("bytes"),
     "packet_rate_summary_hourly": _summary("packets", HOUR),
     "byte_rate_summary_hourly": _summary("bytes", HOUR),
+    "packets_per_hour_filled": _on_packets(
+        lambda p: rates.packets_per_second(p, HOUR, idle=True)
+    ),
+    "packet_rate_summary_idle": _on_packets(
+        lambda p: rates.rate_summary(p, idle=True).select(
+            "capture", F.round("average", 6).alias("average"), "minimum", "maximum"
+        )
+    ),
+    "kept_pair_totals": _kept_pairs,
+    "written_top_src": _written_table,
     "total_bytes": _on_packets(rates.total_bytes),
     "second_index": _on_packets(
         lambda p: rates.packets_per_second(p).select("capture", "second", "idx")

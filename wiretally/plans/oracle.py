@@ -315,6 +315,9 @@ def _report_values() -> str:
 
 ALL_COLUMNS = "capture, src, dst, data_length, protocol_name, protocol_number, arrival_time"
 
+HOURS_SEEN = f"""hours_seen AS (
+  SELECT capture, second - ((second % {HOUR}) + {HOUR}) % {HOUR} AS second, count(*) AS value
+  FROM seconds GROUP BY 1, 2)"""
 # The first half of 2001:db0:: and of 2001:db8::, as numbers.
 NET_DB0, NET_DB8 = (0x2001 << 48) + (0xDB0 << 32), (0x2001 << 48) + (0xDB8 << 32)
 NETWORKS6 = f"""networks6 AS (
@@ -362,6 +365,10 @@ ORACLE: dict[str, str] = {
     "packets_rejects": """SELECT reason, count(*) AS n FROM events
 CROSS JOIN (VALUES ('arity'), ('arity'), ('data_length'), ('arrival_time')) r(reason)
 GROUP BY reason""",
+    "packets_text_files": _packets(f"SELECT {ALL_COLUMNS} FROM packets"),
+    "rejected_lines": _with(PACKETS)
+    + """SELECT capture, reason, src, fields FROM packets CROSS JOIN
+(VALUES ('arity', 5), ('arity', 8), ('data_length', 6), ('arrival_time', 6)) r(reason, fields)""",
     "capture_union": _packets(
         "\nUNION ALL\n".join(
             f"SELECT {ALL_COLUMNS} FROM packets WHERE capture = '{c}'" for c in CAPTURES
@@ -424,6 +431,20 @@ WHERE rank <= {TOP_HOSTS} GROUP BY capture"""
     "byte_rate_summary": _summary(BYTES, 1),
     "packet_rate_summary_hourly": _summary("count(*)", HOUR),
     "byte_rate_summary_hourly": _summary(BYTES, HOUR),
+    "packets_per_hour_filled": _with(PACKETS, SECONDS, HOURS_SEEN)
+    + f"""SELECT g.capture, g.second, row_number() OVER (PARTITION BY g.capture ORDER BY g.second) - 1 AS idx,
+coalesce(h.value, 0) AS value
+FROM (SELECT capture, unnest(generate_series(min(second), max(second), {HOUR})) AS second
+      FROM hours_seen GROUP BY capture) g
+LEFT JOIN hours_seen h ON h.capture = g.capture AND h.second = g.second""",
+    "packet_rate_summary_idle": _with(PACKETS, SECONDS)
+    + """SELECT capture, round(sum(n)::DOUBLE / (max(second) - min(second) + 1), 6) AS average,
+CASE WHEN count(*) < max(second) - min(second) + 1 THEN 0 ELSE min(n) END AS minimum, max(n) AS maximum
+FROM (SELECT capture, second, count(*) AS n FROM seconds GROUP BY capture, second) GROUP BY capture""",
+    "kept_pair_totals": _packets(
+        f"SELECT capture, src, dst, count(*) AS n, {BYTES} AS bytes FROM packets GROUP BY capture, src, dst"
+    ),
+    "written_top_src": _top_hosts("src", "count(*)"),
     "total_bytes": _packets(f"SELECT capture, {BYTES} AS total FROM packets GROUP BY capture"),
     "second_index": _with(PACKETS, SECONDS, _bucketed(1, "count(*) AS value"))
     + "SELECT capture, second, idx FROM indexed",

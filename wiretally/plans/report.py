@@ -50,15 +50,16 @@ def build_report(
     hosts_k: int = TOP_HOSTS,
     pairs_k: int = TOP_PAIRS,
     zone: str = "UTC",
+    networks6: DataFrame | None = None,
 ) -> Report:
-    """The report; captures of another name than ``CAPTURES`` raise ``ValueError``."""
+    """The report, IPv6 addresses located by ``networks6`` if given; captures of another name than ``CAPTURES`` raise ``ValueError``."""
     folder = shared_folder(packets.sparkSession)
     counts = stage(pairs.pair_counts(packets), folder, "pairs")
     _check_captures(counts)
     seconds = stage(rates.with_index(rates.traffic_per_bucket(packets)), folder, "seconds")
     listed = stage(talkers.top_hosts_by_role(counts, hosts_k, "n"), folder, "hosts")
     totals = stage(hosts.role_totals_of(packets, listed, zone), folder, "totals")
-    places = stage(geo.geo_lookup(geo.distinct_ips(counts), blocks), folder, "places")
+    places = stage(geo.geo_lookup(geo.distinct_ips(counts), blocks, networks6), folder, "places")
 
     sections = [
         _summary(seconds),

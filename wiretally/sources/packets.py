@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wiretally.functions.columns import MAX_SECOND, MIN_SECOND, number
 from wiretally.schema import PACKET_SCHEMA
@@ -14,9 +15,11 @@ from wiretally.schema import PACKET_SCHEMA
 FIELD_COUNT = 6
 
 
-def _typed(lines: DataFrame) -> DataFrame:
+def _typed(lines: DataFrame, *keep: str) -> DataFrame:
     """Split ``value`` and type the six fields; ``reject`` says why a line fails.
 
+    Columns of ``lines`` to ``keep`` stay beside them.
+
     Exactly six fields are wanted and blanks count as fields. The arity is
     tested on the split itself rather than left to a CSV reader, whose
     malformed-row handling depends on the columns a query happens to read.
@@ -24,14 +27,15 @@ def _typed(lines: DataFrame) -> DataFrame:
     The one-element explodes keep the optimizer from copying the split and the
     conversions into every later test, as it would with plain projections.
     """
-    fields = lines.select(F.explode(F.array(F.split("value", ","))).alias("f"))
+    fields = lines.select(*keep, F.explode(F.array(F.split("value", ","))).alias("f"))
     text = [F.get("f", F.lit(i)) for i in range(FIELD_COUNT)]
     numbers = F.struct(
         number(text[2]).try_cast("bigint").alias("length"), number(text[5]).alias("arrival")
     )
-    converted = fields.select("f", F.inline(F.array(numbers)))
+    converted = fields.select(*keep, "f", F.inline(F.array(numbers)))
     arrival = F.col("arrival")
     typed = converted.select(
+        *keep,
         F.size("f").alias("n"),
         text[0].alias("src"),
         text[1].alias("dst"),
@@ -101,6 +105,41 @@ def read_captures(
     )
 
 
+def split_captures(
+    spark: SparkSession, paths: Mapping[str, str | list[str]], folder: str
+) -> tuple[DataFrame, DataFrame]:
+    """The packets of several captures and their unusable lines, from one pass over the text.
+
+    Both are written to ``folder`` by one job, split by capture and by whether a
+    line is usable, and read back. Rejected lines have ``capture, file, reason,
+    line``; ``count_rejected`` counts them by reason.
+    """
+    parts = []
+    for name, path in paths.items():
+        text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        parts.append(_typed(text, "value", "file").withColumn("capture", F.lit(name)))
+    usable = F.col("reject").isNull()
+    union_captures(parts).select(
+        *PACKET_SCHEMA.fieldNames(),
+        usable.alias("usable"),
+        F.when(~usable, F.col("file")).alias("file"),
+        F.col("reject").alias("reason"),
+        F.when(~usable, F.col("value")).alias("line"),
+    ).write.mode("overwrite").partitionBy("usable", "capture").parquet(folder)
+    kept = StructType([*PACKET_SCHEMA.fields, StructField("usable", BooleanType())])
+    kept = kept.add("file", "string").add("reason", "string").add("line", "string")
+    both = spark.read.schema(kept).parquet(folder)
+    return (
+        both.where("usable").select(*PACKET_SCHEMA.fieldNames()),
+        both.where("not usable").select("capture", "file", "reason", "line"),
+    )
+
+
+def count_rejected(rejects: DataFrame) -> DataFrame:
+    """``(capture, reason, n)`` for lines that ``split_captures`` rejected."""
+    return rejects.groupBy("capture", "reason").agg(F.count("*").alias("n"))
+
+
 def union_captures(captures: list[DataFrame]) -> DataFrame:
     if not captures:
         raise ValueError("at least one capture is needed")
