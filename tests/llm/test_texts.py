@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -141,6 +142,81 @@ def test_named_literals(text, found):
     assert [text[a:b] for a, b in secret_scan.named_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: f'db_password = "{"changeme" * n}!"',
+        lambda n: 'a = "q"\n' + "a = a + a\n" * n + "db_password = a",
+        lambda n: "a = 'kR8#mQ2!vT9z'\n" + "a = a + 'x1'\n" * n + "db_password = a",
+        lambda n: "password = " + "\\\\'" * n,
+        lambda n: "password = " + "'a\\\\" * n,
+        lambda n: 'password = ' + '\\\\"""' * n,
+        lambda n: "password = " + "x" * 8 * n,
+        lambda n: "token: " + "word " * n,
+        lambda n: "token = (" * n,
+        lambda n: "token =\n" * n,
+    ],
+)
+def test_named_spans_take_time_linear_in_the_text(make):
+    def seconds(n):
+        text, best = make(n), float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            secret_scan.named_spans(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    small, large = seconds(2000), seconds(8000)
+    assert large < 10 * small + 0.05
+
+
+def test_constants_joined_over_and_over():
+    text = 'a = "kR8#mQ2!"\nb = a + "vT9zQ1x"\n' + "b = b + b\n" * 1000 + "db_pwd = b\n"
+    assert [text[x:y] for x, y in secret_scan.named_spans(text)] == ["kR8#mQ2!", "vT9zQ1x"]
+
+
+_PLAIN_STRING = re.compile(
+    r'''"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'{3}(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'{3}'''
+    r'''|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`[^`\n]*`'''
+)
+
+
+def test_literals_against_a_plain_lexer():
+    draw = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(draw.choices(['"', "'", "`", "\\", "\n", "a", " ", '"""', "'''", "=", "1"], k=draw.randint(0, 14)))
+        want, at = [], 0
+        while at < len(text):
+            m = _PLAIN_STRING.match(text, at) or secret_scan._LEX.match(text, at)
+            if m and text[at] in "\"'`" and m[0] != text[at]:
+                want.append(m.span())
+            at = m.end() if m else at + 1
+        assert [(a, b) for kind, _, a, b in secret_scan._tokens(text) if kind == "string"] == want, text
+
+
+def _plain_placeholder(value):
+    """Whether some way to part ``value`` into words has a standing one; tries all ways."""
+
+    def ways(rest, words):
+        if re.fullmatch("[0-9]{0,4}", rest):
+            yield words
+        for word in secret_scan._STANDING | secret_scan._FILLING:
+            if rest.startswith(word):
+                yield from ways(rest[len(word) :].lstrip("-_ ."), [*words, word])
+
+    return any(secret_scan._STANDING & set(words) for words in ways(value, []))
+
+
+def test_placeholders_against_all_ways_to_part_them():
+    draw = random.Random(6)
+    parts = [*sorted(secret_scan._STANDING), "password", "token", "key", "me", "value", "-", "_", ".", "q", "1", "23"]
+    for _ in range(3000):
+        value = "".join(draw.choices(parts, k=draw.randint(1, 5))).lstrip("-._") or "q"
+        assert secret_scan.is_placeholder(value) == _plain_placeholder(value), value
+        assert secret_scan.is_placeholder(value.upper()) == _plain_placeholder(value)
+        assert not secret_scan.is_placeholder(value + "#Kq2")
+
+
 def test_licence_lines(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))

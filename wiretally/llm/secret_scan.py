@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,24 +41,32 @@ NAME_SCORES = {
 }
 NEEDED = 1.4
 LEAST_VALUE = 8
-# Values that as a whole stand for a secret without being one.
-_STANDING = "your|my|some|the|insert|enter|example|sample|dummy|test|changeme|change|placeholder|todo|none|null|true|false|here|replace"
-_PLACEHOLDER = re.compile(
-    r"(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\}"
-    rf"|(?=.*(?:{_STANDING}))(?:(?:{_STANDING}|password|passwd|passphrase|pwd|secret|token|api|key|access"
-    r"|client|private|credentials?|value|user|name|string|text|goes|with|me)[-_ .]*)+[0-9]{0,4})",
-    re.IGNORECASE | re.DOTALL,
+# Characters of a value that are looked at for its score; constants keep no more of theirs.
+SCORED = 1024
+# Values that as a whole stand for a secret without being one: a standing word, others, digits.
+_STANDING = frozenset(
+    "your my some the insert enter example sample dummy test changeme change placeholder todo none null"
+    " true false here replace".split()
+)
+_FILLING = frozenset(
+    "password passwd passphrase pwd secret token api key access client private credential credentials"
+    " value user name string text goes with me".split()
+)
+_LONGEST_WORD = max(map(len, _STANDING | _FILLING))
+_DRAWN = re.compile(
+    r"x++|X++|\*++|\.++|-++|<.*>|\$\{.*\}|%\([^)]*\).*|\{\{.*\}\}", re.DOTALL
 )
 
 _LEX = re.compile(
-    r'''(?P<string>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*\'{3}'''
-    r"""|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`\n]*`)"""
-    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)"""
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)"""
     r"""|(?P<number>[0-9][A-Za-z0-9_.]*)"""
     r"""|(?P<sign>:=|=>|->|==|!=|<=|>=|[=:+])"""
     r"""|(?P<end>\n)"""
+    r"""|(?P<quote>["'`])"""
     r"""|(?P<other>[^\s])"""
 )
+# Quotes and line ends with the backslashes before them.
+_MARKS = re.compile(r"""(\\*)("{3,}|'{3,}|["'\n])""")
 _ANNOTATION = frozenset("[]|,?.<>")
 _PREFIXES = frozenset(("b", "r", "u", "f", "rb", "br", "rf", "fr"))
 # A value without quotes runs to white space or a separator.
@@ -74,9 +83,41 @@ def name_score(name: str) -> float:
     return sum(NAME_SCORES.get(p, 0.0) for p in {*parts, *joined})
 
 
+def is_placeholder(value: str) -> bool:
+    """Whether ``value`` is made of words that stand for a secret, in time linear in it.
+
+    Words are joined or parted by ``-_ .``; at least one is a standing word, and
+    up to four digits may end it. Values drawn of one character or in brackets
+    stand for others too.
+    """
+    if _DRAWN.fullmatch(value):
+        return True
+    body = value.lower().rstrip("0123456789")
+    if len(value) - len(body) > 4:
+        return False
+    # Places that words lead to, and those of them with a standing word on the way.
+    n = len(body)
+    some, standing = [False] * (n + 1), [False] * (n + 1)
+    some[0] = True
+    for i in range(n):
+        if not some[i]:
+            continue
+        if i and body[i] in "-_ .":
+            some[i + 1], standing[i + 1] = True, standing[i + 1] or standing[i]
+            continue
+        for end in range(i + 2, min(n, i + _LONGEST_WORD) + 1):
+            word = body[i:end]
+            if word in _STANDING:
+                some[end] = standing[end] = True
+            elif word in _FILLING:
+                some[end], standing[end] = True, standing[end] or standing[i]
+    return standing[n]
+
+
 def value_score(value: str) -> float:
     """0 to 1 by length, kinds of characters and entropy; 0 for placeholders and prose."""
-    if len(value) < LEAST_VALUE or _PLACEHOLDER.fullmatch(value) or " " in value.strip():
+    value = value[:SCORED]
+    if len(value) < LEAST_VALUE or " " in value.strip() or is_placeholder(value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -86,24 +127,88 @@ def value_score(value: str) -> float:
     return min(1.0, 0.2 * (kinds - 1) + 0.25 * entropy / 2 + min(n, 32) / 80)
 
 
+class Literal:
+    """The first characters of a value and what it was put together from."""
+
+    __slots__ = ("parts", "spans", "value")
+
+    def __init__(self):
+        self.value = ""
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Literal] = []
+
+    def add(self, text: str) -> None:
+        self.value += text[: SCORED - len(self.value)]
+
+    def collect(self, found: set, seen: set) -> None:
+        """Add the spans of all parts to ``found``; parts in ``seen`` were collected before."""
+        left = [self]
+        while left:
+            literal = left.pop()
+            if id(literal) not in seen:
+                seen.add(id(literal))
+                found.update(literal.spans)
+                left.extend(literal.parts)
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that are assigned to a sensitive name, directly or through constants."""
     if not _HINT.search(text) or not _SENSITIVE.search(text):
         return []
-    #: Name to the value it was last given and the spans that make it up.
-    constants: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    #: Name to the literal it was last given; all of them stay, so that each is collected once.
+    constants: dict[str, Literal] = {}
+    every: list[Literal] = []
     found: set[tuple[int, int]] = set()
-    for target, value, spans in _assignments(text, constants):
-        constants[target] = (value, spans)
+    seen: set[int] = set()
+    for target, literal in _assignments(text, constants):
+        constants[target] = literal
+        every.append(literal)
         score = name_score(target)
-        if score > 0 and score + value_score(value) >= NEEDED and value_score(value) > 0:
-            found.update(spans)
+        worth = value_score(literal.value) if score > 0 else 0.0
+        if worth > 0 and score + worth >= NEEDED:
+            literal.collect(found, seen)
     return sorted(found)
 
 
+def _tokens(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of each token; a quote that nothing closes is a sign of its own."""
+    # A quote or line end behind an odd number of backslashes is part of a literal, wherever that began.
+    closing: dict[str, list[int]] = {k: [] for k in ('"', "'", '"""', "'''", "\n")}
+    for m in _MARKS.finditer(text):
+        free, mark = len(m[1]) % 2 == 0, m[2][0]
+        for at in range(m.start(2) + (not free), m.end()):
+            closing[mark].append(at)
+            if m.end() - at >= 3 and mark != "\n":
+                closing[mark * 3].append(at)
+    out, at = [], 0
+
+    def after(mark: str, place: int) -> int:
+        places = closing[mark]
+        i = bisect_left(places, place)
+        return places[i] if i < len(places) else len(text)
+
+    while m := _LEX.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind == "quote":
+            kind, quote = "other", m[0]
+            if quote == "`":
+                end = text.find("`", at)
+                if end >= 0 and text.find("\n", at, end) < 0:
+                    kind, at = "string", end + 1
+            else:
+                triple = after(quote * 3, start + 3) if text.startswith(quote * 3, start) else len(text)
+                end = after(quote, at)
+                if triple < len(text):
+                    kind, at = "string", triple + 3
+                elif end < after("\n", at):
+                    kind, at = "string", end + 1
+        out.append((kind, text[start:at], start, at))
+    return out
+
+
 def _assignments(text: str, constants: dict):
-    """(target, value, spans) of each pair of a text, from its start to its end."""
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _LEX.finditer(text)]
+    """(target, literal) of each pair of a text, from its start to its end."""
+    tokens = _tokens(text)
     i = 0
     while i < len(tokens):
         kind, sign, _, _ = tokens[i]
@@ -116,9 +221,9 @@ def _assignments(text: str, constants: dict):
             continue
         if sign == ":":
             i = _annotated(tokens, i)
-        value, spans, i = _value(text, tokens, i + 1, constants)
-        if spans:
-            yield target, value, spans
+        literal, i = _value(text, tokens, i + 1, constants)
+        if literal.spans or literal.parts:
+            yield target, literal
 
 
 def _target(tokens: list, i: int) -> str:
@@ -169,26 +274,27 @@ def _inner(word: str) -> str:
 
 def _value(text, tokens, i, constants):
     """A literal, a known name, or several of them joined by ``+`` or within parentheses."""
-    value, spans = "", ()
+    literal = Literal()
     begin, i = i, _literal(tokens, i)
     depth = sum(t[1] == "(" for t in tokens[begin:i])
     while i < len(tokens):
         kind, word, at, end = tokens[i]
         if kind == "string":
-            value += _inner(word)
+            literal.add(_inner(word))
             q = _quote(word)
-            spans += ((at + q, end - q),) if end - at > 2 * q else ()
+            if end - at > 2 * q:
+                literal.spans.append((at + q, end - q))
             i += 1
         elif kind in ("name", "number", "other"):
             if kind == "name" and word in constants:
-                value += constants[word][0]
-                spans += constants[word][1]
+                literal.add(constants[word].value)
+                literal.parts.append(constants[word])
                 i += 1
             else:
                 bare = _BARE.match(text, at)
-                if not bare or spans:
+                if not bare or literal.spans or literal.parts:
                     break
-                value, spans = bare[0], ((at, bare.end()),)
+                literal.value, literal.spans = bare[0][:SCORED], [(at, bare.end())]
                 while i < len(tokens) and tokens[i][2] < bare.end():
                     i += 1
                 break
@@ -211,7 +317,7 @@ def _value(text, tokens, i, constants):
             i = j
             continue
         break
-    return value, spans, i
+    return literal, i
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
