@@ -265,6 +265,52 @@ def test_wrapped_and_versioned_licences(spark):
     assert rows(license_scan.license_paragraphs(docs), "doc_id", "paragraph", "family") == want
 
 
+@pytest.fixture(scope="module")
+def ordinary_lines(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 40")
+    plain = lines.where(~F.lower("line").rlike("licen|rights"))
+    return [r["line"] for r in plain.orderBy(F.md5("line")).limit(400).collect()]
+
+
+def test_licences_anywhere_in_a_line(spark, ordinary_lines):
+    words = " ".join(f"w{i}" for i in range(70))
+    said = {
+        900: (f"{words} Released under the MIT License.", [(0, "MIT")]),
+        901: (f"{words} Released under the MIT License. {words}\nLicensed under the Apache License, Version 2.0.", [(0, "MIT"), (1, "Apache-2.0")]),
+        902: ("The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", [(0, "MIT")]),
+        903: ("x\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", [(2, "MIT")]),
+        904: ("This file is licensed under GPL version 3", [(0, "GPL-3.0")]),
+        905: ("Apache License\nVersion 2.0, January 2004", [(0, "Apache-2.0")]),
+        906: ("We have the permission of the software house and all the copyright rights in it.", []),
+        907: ("Released under the MIT License. " * 400, [(0, "MIT")] * 400),
+    }
+    docs = documents(spark, [*ordinary_lines, *((i, t) for i, (t, _) in said.items())])
+    want = sorted((i, p, f) for i, (_, finds) in said.items() for p, f in finds)
+    got = license_scan.license_paragraphs(docs).where("doc_id >= 900")
+    assert rows(got, "doc_id", "paragraph", "family") == want
+
+
+def test_licences_of_held_out_paragraphs(spark, ordinary_lines):
+    """Each family's statements with words left out and set into ordinary text; ordinary text alone."""
+    draw, texts, want = random.Random(8), list(ordinary_lines[:200]), []
+    for family, said in license_scan.TEMPLATES.items():
+        for statement in said:
+            parts = statement.split()
+            # Not a name or number, without which nothing is said of a family.
+            spare = [i for i in range(6, len(parts) - 6) if parts[i].islower() and parts[i] != "2.1"]
+            if spare:
+                del parts[draw.choice(spare)]
+            texts.append("\n".join(draw.sample(ordinary_lines[200:], 3)) + "\n" + " ".join(parts) + "\n" + draw.choice(ordinary_lines[200:]))
+            want.append((len(texts) - 1, 3, family))
+    got = rows(license_scan.license_paragraphs(documents(spark, texts)), "doc_id", "paragraph", "family")
+    right = len(set(got) & set(want))
+    assert right >= 0.95 * len(want), set(want) - set(got)
+    assert len(set(got) - set(want)) <= 0.05 * len(want), set(got) - set(want)
+    named = {f for _, _, f in set(got) & set(want)}
+    assert named == set(license_scan.TEMPLATES)
+
+
 def test_mix_of_odd_rows(spark):
     docs = odd(spark)
     counts = mixing.mixing_counts(docs)

@@ -55,25 +55,33 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def bounded_sample(rows: DataFrame, n: int, seed: int, *columns: str, by: str | None = None) -> DataFrame:
-    """The first ``n`` rows, of each ``by`` if given, by a seeded hash of ``columns``.
+def bounded_sample(rows: DataFrame, n: int, seed: int, *columns: str) -> DataFrame:
+    """The first ``n`` rows of different ``columns`` by a seeded hash of these.
 
-    A share of the hash's range that holds a few more than ``n`` rows is cut out
-    where rows are read, so what is sorted does not grow with the table.
+    A share of the hash's range that holds about twice ``n`` different values is
+    cut out where rows are read, and copies meet before the shuffle, so neither
+    the table's size nor a value in most of its rows adds to what is sorted.
     """
     hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
-    order = ["_hash", *columns]
-    if by is None:
-        share = min(1.0, (2.0 * n + 100) / max(1, rows.count()))
-        cut = hashed.where(F.abs("_hash") <= share * 2.0**63)
-        return cut.orderBy(*order).limit(n).drop("_hash")
+    different = hashed.agg(F.approx_count_distinct("_hash")).head()[0]
+    share = min(1.0, (2.0 * n + 100) / max(1, different))
+    cut = hashed.where(F.abs("_hash") <= share * 2.0**63).dropDuplicates(list(columns))
+    return cut.orderBy("_hash", *columns).limit(n).drop("_hash")
+
+
+def bounded_sample_by(rows: DataFrame, n: int, seed: int, by: str, *columns: str) -> DataFrame:
+    """``bounded_sample`` of each value of ``by``; there must be a bounded number of these."""
+    hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
     # Staged, so that its size is known and rows of a common group are not shuffled to meet it.
-    counts = staged(rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")), "counts")
-    near = F.abs("_hash") <= (2.0 * n + 100) / F.col("_n") * 2.0**63
-    first = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    counts = staged(
+        hashed.groupBy(F.col(by).alias("_by")).agg(F.approx_count_distinct("_hash").alias("_n")), "counts"
+    )
+    near = F.abs("_hash") <= (2.0 * n + 100) / F.greatest("_n", F.lit(1)) * 2.0**63
+    first = F.row_number().over(Window.partitionBy(by).orderBy("_hash", *columns))
     return (
         hashed.join(counts, F.col(by) == F.col("_by"))
         .where(near)
+        .dropDuplicates([by, *columns])
         .withColumn("_rank", first)
         .where(F.col("_rank") <= n)
         .drop("_hash", "_by", "_n", "_rank")

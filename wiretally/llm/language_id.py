@@ -14,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import bounded_sample, fold
+from wiretally.llm.common import bounded_sample_by, fold
 
-# The learning sample has at most this many rows of each language.
+# The learning sample has at most this many rows of each language, of the most frequent
+# languages, and in all.
 PER_LANGUAGE = 800
+LANGUAGES = 256
+SAMPLE = 32_000
 BUCKET_BITS = 15
 DIMENSION = 16
 NGRAMS = (2, 3, 4)
@@ -139,15 +142,22 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 def learn(docs: DataFrame) -> Model | None:
     """Train on a bounded sample of rows with a language outside the held-out fold.
 
-    The sample is the first ``PER_LANGUAGE`` rows of each language by a hash of
-    ``doc_id``; it is chosen without reading texts. Only bucket counts come to
-    the driver, at most ``2 ** BUCKET_BITS`` of a row.
+    The sample is of the ``LANGUAGES`` languages with most rows (ties by name): the first
+    ``PER_LANGUAGE`` different ids of each by a hash, or fewer, so that it has
+    ``SAMPLE`` in all; if ids have several texts, as many of these, the same text
+    once. It is chosen without reading texts. Only bucket counts come to the driver,
+    at most ``2 ** BUCKET_BITS`` of a row.
     """
     labelled = docs.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull())
-    chosen = (
-        bounded_sample(labelled.select("doc_id", "lang"), PER_LANGUAGE, SEED, "doc_id", by="lang")
-        .select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"))
-        .distinct()
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    languages = [r["lang"] for r in most.limit(LANGUAGES).collect()]
+    if not languages:
+        return train([])
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(languages)))
+    labelled = labelled.where(F.col("lang").isin(languages))
+    # At most SAMPLE rows.
+    chosen = bounded_sample_by(labelled.select("doc_id", "lang"), each, SEED, "lang", "doc_id").select(
+        F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang")
     )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +174,7 @@ def learn(docs: DataFrame) -> Model | None:
                 ["id", "lang", "buckets", "counts"],
             )
 
+    in_language = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "id", "buckets"), "id", "buckets", "counts")
     rows = (
         labelled.where("text is not null")
         .join(
@@ -173,6 +184,9 @@ def learn(docs: DataFrame) -> Model | None:
         )
         .select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
         .mapInArrow(of_batches, "id string, lang string, buckets binary, counts binary")
+        .dropDuplicates()
+        .withColumn("place", F.row_number().over(in_language))
+        .where(F.col("place") <= each)
         .collect()
     )
     found = sorted((r["lang"], r["id"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows)

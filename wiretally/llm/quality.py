@@ -195,8 +195,9 @@ def _sigmoid(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
-    The sample is the first ``SAMPLE`` labels by a hash of ``doc_id``; only the
-    buckets of its texts come to the driver.
+    The sample is the first ``SAMPLE`` different labels by a hash of ``doc_id``,
+    and of their texts, if some numbers have several, the first ``SAMPLE`` by a hash;
+    rows that are the same count once. Only the buckets of these come to the driver.
     """
     usable = labels.where((fold(F.col("doc_id")) != 1) & F.col("quality").isin(0, 1))
     chosen = bounded_sample(
@@ -218,6 +219,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
         .select(F.col("doc_id").cast("string").alias("id"), F.col("good").cast("int"), "text")
         .mapInArrow(of_batches, "id string, good int, buckets binary")
+        .dropDuplicates()
+        .orderBy(F.xxhash64(F.lit(SEED), "id", "good", "buckets"), "id", "good", "buckets")
+        .limit(SAMPLE)
         .collect()
     )
     found = sorted((r["id"], r["good"], bytes(r["buckets"])) for r in rows)
@@ -249,7 +253,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Defined cases: null and empty texts are scored as texts without features;
     without labels of both kinds every text gets the share of good ones; rows
-    and labels repeated count as often as they occur; a null ``doc_id`` counts
+    and labels repeated are learned from once; a null ``doc_id`` counts
     as empty text for its fold and has no label; an empty table gives no rows;
     labels, ``lang``, ``source`` and ``doc_id`` are no inputs of a score.
     """
