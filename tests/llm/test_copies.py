@@ -3,6 +3,8 @@
 import hashlib
 import random
 import string
+import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd, rows
-from wiretally.llm import line_dedup, simhash
+from wiretally.llm import language_id, line_dedup, quality, simhash
+from wiretally.llm.common import bounded_sample
 from wiretally.llm.components import connected_components
 from wiretally.llm.exact_dedup import exact_dedup
 
@@ -231,3 +234,65 @@ def test_repeated_runs_read_staged_tables_only(spark):
     # Only the first of the repeated lines stays; the empty end is no line with a word.
     assert first == ["a b c\nd e f\n", "", ""]
     assert got.agg(F.sum("lines_deleted")).head()[0] == 22
+
+
+def test_hot_intervals_and_copies_that_overlap(spark):
+    # One line in a third of all lines, frequent runs and rare ones, and 60 equal lines.
+    hot, pair = "word " * 30 + "end", "one two three " * 9
+    texts = ["\n".join([hot, pair, hot, f"own {i} " * 3, hot, hot]) for i in range(40)]
+    docs = list(enumerate([*texts, "\n".join(["w"] * 60), "x\n" + "\n".join(["w"] * 49), "w " * 55]))
+    got = rows(line_dedup.drop_repeated_runs(documents(spark, docs)), "doc_id", "text", "lines_deleted")
+    assert got == _plain_line_dedup(docs, 50)
+    # As the docstring says.
+    assert {d: n for d, _, n in got}[40] == 59
+
+
+def test_long_copies_take_time_linear_in_their_lines(spark):
+    def seconds(n):
+        text = "\n".join(f"line {i} of a long text" for i in range(n))
+        docs = documents(spark, [text, text, "other"]).repartition(3)
+        best = float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            got = rows(line_dedup.drop_repeated_runs(docs), "doc_id", "lines_deleted")
+            best = min(best, time.perf_counter() - start)
+            assert got == [(0, 0), (1, n), (2, 0)]
+        return best
+
+    seconds(1000)
+    assert seconds(40_000) < 4 * seconds(5000) + 10
+
+
+def test_tail_of_exact_copies_is_aggregated_before_the_shuffle(spark):
+    plan = exact_dedup(documents(spark, ["a", "b", "a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan and "partial_count" in plan
+
+
+def _sampled(spark, column, values, n):
+    table = spark.createDataFrame([(v,) for v in values], f"{column} string").repartition(8)
+    return [r[0] for r in bounded_sample(table, n, 3, column).collect()]
+
+
+def test_samples_hold_their_bound_and_hold_values_once(spark):
+    values = [f"line {i}" for i in range(20_000)] + ["hot line"] * 40_000
+    got = _sampled(spark, "text", values, 4000)
+    assert len(got) == len(set(got)) == 4000
+    assert sorted(_sampled(spark, "text", values[:300] + ["hot line"] * 900, 4000)) == sorted({*values[:300], "hot line"})
+    assert _sampled(spark, "text", ["a"] * 50, 10) == ["a"]
+
+
+def test_learning_samples_with_repeated_ids_and_many_languages(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda rows, good: seen.update(quality=len(rows)))
+    monkeypatch.setattr(language_id, "train", lambda rows: seen.update(rows=len(rows), languages={r[0] for r in rows}))
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    monkeypatch.setattr(language_id, "SAMPLE", 500)
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    one_id = documents(spark, [(free[0], f"text number {i} {i * i}") for i in range(2000)])
+    quality.learn(one_id, spark.createDataFrame([(free[0], 1), (free[1], 0)], "doc_id bigint, quality int"))
+    assert 0 < seen["quality"] <= 60
+    language_id.learn(one_id)
+    assert 0 < seen["rows"] <= 500 and seen["languages"] == {"en"}
+    many = one_id.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.concat(F.lit("l"), "text").alias("lang"))
+    language_id.learn(many)
+    assert 0 < seen["rows"] <= 500 and len(seen["languages"]) <= language_id.LANGUAGES

@@ -26,6 +26,8 @@ from wiretally.llm.common import WORD, staged
 
 # Words of the shortest repeated run that is deleted.
 MIN_WORDS = 50
+# Intervals with more than this share of all members are few enough to be broadcast.
+HOT = 1000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -100,28 +102,28 @@ def shortest_runs(place: np.ndarray, words: np.ndarray, min_words: int):
 
 
 def _positions(repeated: DataFrame, min_words: int) -> DataFrame:
-    """``doc, place, id, ahead, behind`` of every line in a stretch of ``min_words``."""
+    """``doc, place, line, id, ahead, behind`` of every line in a stretch of ``min_words``."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                place, words, ids = (
-                    batch.column(c)[row].values.to_numpy() for c in ("place", "words", "id")
+                place, line, words, ids = (
+                    batch.column(c)[row].values.to_numpy() for c in ("place", "line", "words", "id")
                 )
                 ahead, behind = shortest_runs(place, words, min_words)
                 # A stretch has such a run that starts at its first line, or none at all.
                 keep = _in_long_stretch(place, ahead)
                 doc = np.full(int(keep.sum()), batch.column("doc")[row].as_py(), np.int64)
-                out.append((doc, *(x[keep] for x in (place, ids, ahead, behind))))
+                out.append((doc, *(x[keep] for x in (place, line, ids, ahead, behind))))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                    ["doc", "place", "id", "ahead", "behind"],
+                    ["doc", "place", "line", "id", "ahead", "behind"],
                 )
 
-    return repeated.select("doc", "place", "words", "id").mapInArrow(
-        of_batches, "doc bigint, place int, id bigint, ahead int, behind int"
+    return repeated.select("doc", "place", "line", "words", "id").mapInArrow(
+        of_batches, "doc bigint, place int, line int, id bigint, ahead int, behind int"
     )
 
 
@@ -192,18 +194,25 @@ def repeated_run_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     )
     # Members of one interval share a prefix of n lines; the first in the corpus stays.
     interval = ["n", "lower", "upper"]
-    first = members.groupBy(*interval).agg(F.min("at").alias("first"))
+    firsts = members.groupBy(*interval).agg(F.min("at").alias("first"), F.count("*").alias("m"))
+    firsts = staged(firsts.where("m > 1"), "firsts")
+    # Members of frequent intervals meet their first one where they are read; of the others each
+    # has a small share of all members.
+    hot = F.broadcast(firsts.where(F.col("m") > members.count() / HOT))
+    later = members.join(hot, interval).unionByName(
+        members.join(hot, interval, "left_anti").join(firsts, interval)
+    )
     places = (
-        members.join(first, interval)
-        .where("at > first")
-        .select("doc", F.explode(F.expr("sequence(start, start + n - 1)")).alias("deleted"))
-        .groupBy("doc")
-        .agg(F.collect_set("deleted").alias("deleted"))
+        later.where("at > first")
+        .select("doc", F.explode(F.expr("sequence(start, start + n - 1)")).alias("place"))
+        .distinct()
     )
-    lines = F.expr(
-        "transform(filter(arrays_zip(place, line), l -> array_contains(deleted, l.place)), l -> l.line)"
+    lines = (
+        places.join(positions.select("doc", "place", "line"), ["doc", "place"])
+        .groupBy("doc")
+        .agg(F.collect_list("line").alias("lines"))
     )
-    return repeated.join(places, "doc").select(*KEYS, lines.alias("lines"))
+    return repeated.select("doc", *KEYS).join(lines, "doc").select(*KEYS, "lines")
 
 
 def drop_repeated_runs(
@@ -213,8 +222,9 @@ def drop_repeated_runs(
 
     A run is one or more neighbouring lines with a word, of ``min_words`` words
     together; blank lines between are passed over and stay. Copies are ordered by
-    ``doc_id`` (null last), then by place; the first stays. Words are separated
-    by ASCII white space, lines by a line feed, and lines are equal if identical.
+    ``doc_id`` (null last), then by place; the first stays, but for lines in which a
+    copy overlaps an earlier one: of 60 equal lines one stays, as the runs that
+    begin at its second to last lines are copies. Words are separated by ASCII white space, lines by a line feed, and lines are equal if identical.
     Defined cases: a null text stays null; a text whose lines all go is empty;
     rows of one ``doc_id`` and text are one document and lose the same lines;
     rows of one ``doc_id`` and other texts are ordered by a hash of the text; an
@@ -225,8 +235,10 @@ def drop_repeated_runs(
     lines = staged(repeated_run_lines(docs, min_words), "deleted-lines")
     # Documents with deleted lines grow with the corpus: they are never broadcast.
     rows = _keyed(docs).join(lines.hint("merge"), KEYS, "left")
+    # The numbers that stay are found by hashing, and the text is split once.
     kept = F.expr(
-        "array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(lines, i)), '\n')"
+        "transform(array(split(text, '\n', -1)), parts -> array_join(transform("
+        "array_except(sequence(0, size(parts) - 1), lines), i -> parts[i]), '\n'))[0]"
     )
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept)
     rows = rows.withColumn("text", text)
