@@ -8,7 +8,7 @@ an ordinary shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import lower_ascii, staged
@@ -43,12 +43,12 @@ def exact_dedup(
     winners = F.broadcast(_winners(digests, tracked, heavy))
     head = digests.join(winners, "text_sha256")
 
-    of_text = Window.partitionBy("text_sha256")
-    tail = digests.join(winners, "text_sha256", "left_anti").select(
-        "*",
-        F.max(F.struct("doc_id", "row")).over(of_text).alias("winner"),
-        F.count("*").over(of_text).alias("group_size"),
+    # Tasks send on one row of each text, and adaptive execution may split the join.
+    rest = digests.join(winners, "text_sha256", "left_anti")
+    decided = rest.groupBy("text_sha256").agg(
+        F.max(F.struct("doc_id", "row")).alias("winner"), F.count("*").alias("group_size")
     )
+    tail = rest.join(decided.hint("merge"), "text_sha256")
     return head.unionByName(tail).select(
         "doc_id",
         F.col("winner.doc_id").alias("keep_id"),
