@@ -179,3 +179,33 @@ def test_block_sources(spark, tmp_path):
     assert rows(conform_blocks(ranges), "prefix_len", "country", "city") == [(29, "L", None)]
     (tmp_path / "r.csv").write_text(f"ip_from,ip_to,country\n{first},{first},L\n")
     assert rows(read_geo_blocks(spark, str(tmp_path / "r.csv"), "csv"), "ip_to", "prefix_len") == [(first, 32)]
+
+
+def test_kept_pieces_locate_as_their_blocks_without_being_shuffled(spark, tmp_path):
+    rng = random.Random(5)
+    blocks = []
+    for i in range(300):
+        length = rng.choice([8, 13, 16, 19, 24, 27, 32])
+        blocks.append(cidr(f"{text(rng.choice([167772160, 0, 4278190080]) + rng.randrange(2**20))}/{length}", str(i)))
+    table = spark.createDataFrame(blocks, GEO_SCHEMA)
+    ips = spark.createDataFrame(
+        [(text(rng.choice([167772160, 0, 4278190080]) + rng.randrange(2**20)),) for _ in range(2000)]
+        + [("",), (None,), ("x",), ("255.255.255.255",)],
+        "ip string",
+    )
+    geo.keep_pieces(table, "kept_pieces", str(tmp_path / "pieces"), buckets=7)
+    kept = geo.kept_pieces(spark, "kept_pieces")
+    assert kept.buckets == 7
+    located = geo.geo_lookup(ips, kept)
+    assert sorted(map(repr, located.collect())) == sorted(map(repr, geo.geo_lookup(ips, table).collect()))
+    plan = geo.locate(ips, kept)._jdf.queryExecution().executedPlan().toString()
+    # The addresses alone are shuffled; the buckets are read as they lie.
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert plan.index("Union") < plan.index("Exchange")
+    # Written again, with other blocks.
+    geo.keep_pieces(table.limit(0), "kept_pieces", str(tmp_path / "pieces"), buckets=3)
+    empty = geo.geo_lookup(ips, geo.kept_pieces(spark, "kept_pieces"))
+    assert empty.where("found").count() == 0 and empty.count() == located.count()
+    table.write.option("path", str(tmp_path / "plain")).saveAsTable("plain_blocks")
+    with pytest.raises(ValueError):
+        geo.kept_pieces(spark, "plain_blocks")

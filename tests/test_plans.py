@@ -76,7 +76,52 @@ def test_long_host_list_is_not_broadcast(spark, packets):
         F.lit("normal").alias("capture"), F.md5(F.col("id").cast("string")).alias("ip")
     )
     plan = planned(hosts.host_packets(packets, long))
-    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("SortMergeJoin" in line for line in semi)
+    # Only the filter of the list is broadcast, once for either end.
+    assert plan.count("BroadcastHashJoin") == plan.count("LeftOuter, BuildRight") == 2
+
+
+def test_filter_of_a_long_list_passes_few_other_packets_before_they_are_doubled(spark, packets):
+    packets_of = spark.range(200_000).selectExpr(
+        "if(id % 2 = 0, 'normal', 'attack') capture", "md5(string(id)) src", "md5(string(-id)) dst"
+    )
+    # Neither broadcast nor small: every fiftieth source is listed.
+    listed = packets_of.where("conv(substr(src, 1, 4), 16, 10) % 50 = 0").selectExpr("capture", "src ip")
+    listed = hosts.staged_list(listed)
+    passed = hosts.maybe_listed(packets_of, listed)
+    assert passed.columns == packets_of.columns
+    n = listed.count()
+    assert 3000 < n <= passed.count() < n + 0.05 * 200_000
+    assert passed.join(listed.withColumnRenamed("ip", "src"), ["capture", "src"], "left_semi").count() == n
+    plan = planned(hosts.host_packets(packets_of, listed))
+    # Printed top down: doubled after the filter.
+    assert plan.index("Generate explode") < plan.index("LeftOuter, BuildRight")
+
+
+@pytest.mark.parametrize("words", [1, 2, 1 << 17])
+def test_filter_never_drops_a_listed_host(spark, monkeypatch, words):
+    # Too few words for the list: all bits are set, nothing is dropped, and the join decides.
+    monkeypatch.setattr(hosts, "_FILTER_WORDS", words)
+    rows = [("attack", f"h{i % 40}" if i % 7 else None, f"h{i % 11}") for i in range(500)]
+    packets = spark.createDataFrame(rows, "capture string, src string, dst string")
+    for chosen in (["h3", "h39"], [f"h{i}" for i in range(40)], []):
+        listed = spark.createDataFrame([("attack", h) for h in chosen], "capture string, ip string")
+        assert hosts.filter_words(listed) <= words
+        found = {(r["ip"], r["role"]): r["packets"] for r in hosts.host_packets(packets, listed).collect()}
+        plain = {}
+        for _, src, dst in rows:
+            for ip, role in ((src, "src"), (dst, "dst")):
+                if ip in chosen:
+                    plain[ip, role] = plain.get((ip, role), 0) + 1
+        assert found == plain
+
+
+def test_filters_merge(spark):
+    listed = spark.range(1000).selectExpr("'attack' capture", "string(id) ip")
+    parts = [hosts.host_filter(listed.where(f"ip % 2 = {i}"), 64) for i in (0, 1)]
+    merged = parts[0].union(parts[1]).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    assert sorted(merged.collect()) == sorted(hosts.host_filter(listed, 64).collect())
 
 
 def test_report_reads_packets_once_for_each_staged_table(spark, packets, monkeypatch):

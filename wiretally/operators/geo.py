@@ -8,11 +8,16 @@ are shuffled by /16 and sorted together, and one running window carries the
 last piece of each size along: an address is shuffled once, whatever the
 number and overlap of the blocks. A /16 holds at most 65,536 addresses and
 some 70,000 pieces.
+
+Where several jobs locate by the same blocks, ``keep_pieces`` writes the pieces
+once as a table bucketed by /16, and lookups by it shuffle addresses only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import ip_to_long, mapped_address
@@ -91,10 +96,56 @@ def block_pieces(blocks: DataFrame) -> DataFrame:
     return pieces.groupBy("piece").agg(F.max("hit").alias("hit"))
 
 
-def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame:
+class Pieces(NamedTuple):
+    """A kept table of pieces, in ``buckets`` files by hash of ``block``, their /16."""
+
+    table: DataFrame
+    buckets: int
+
+
+Blocks = DataFrame | Pieces
+
+
+def placed_pieces(blocks: DataFrame) -> DataFrame:
+    """``(level, piece, hit, block, at)``: each piece with its /16 and first address."""
+    pieces = block_pieces(blocks).selectExpr(
+        "cast(shiftright(piece, 32) as int) as level", "piece", "hit"
+    )
+    starts = F.expr("shiftleft(piece & 4294967295L, 32 - level)")
+    return pieces.select(
+        "level", "piece", "hit", F.shiftright(starts, 16).alias("block"), starts.alias("at")
+    )
+
+
+def keep_pieces(blocks: DataFrame, table: str, path: str, buckets: int = 200) -> Pieces:
+    """Write the pieces of ``blocks`` as ``table`` under ``path``, replacing both.
+
+    One file a bucket; the number of buckets is that of the tasks of every lookup.
+    """
+    (
+        placed_pieces(blocks)
+        .repartition(buckets, "block")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "block")
+        .sortBy("block", "at")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return kept_pieces(blocks.sparkSession, table)
+
+
+def kept_pieces(spark: SparkSession, table: str) -> Pieces:
+    """A table that ``keep_pieces`` wrote; another table raises ``ValueError``."""
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {table}").collect()}
+    if described.get("Bucket Columns") != "[`block`]":
+        raise ValueError(f"{table} is not bucketed by block")
+    return Pieces(spark.read.table(table), int(described["Num Buckets"]))
+
+
+def locate(rows: DataFrame, blocks: Blocks, address: str = "ip") -> DataFrame:
     """Add ``found, country, city, latitude, longitude`` of ``address`` to rows.
 
-    Addresses in no block, empty or malformed get the not-found values; a null
+    ``blocks`` are a block table, or pieces kept of one. Addresses in no block, empty or malformed get the not-found values; a null
     attribute of a matching block stays null. Rows of one address meet in one
     task: their number must be bounded.
     """
@@ -103,18 +154,19 @@ def locate(rows: DataFrame, blocks: DataFrame, address: str = "ip") -> DataFrame
     nowhere = F.expr(f"-1L - pmod(xxhash64(`{address}`), {2**31}L)")
     wanted = rows.withColumn("_value", ip_to_long(address)).select(
         F.struct(*kept).alias("row"),
-        F.coalesce(F.shiftright("_value", 16), nowhere).alias("block"),
+        F.coalesce(F.shiftright("_value", 16), nowhere).alias("lane"),
         F.coalesce("_value", F.lit(-1)).alias("at"),
     )
-    pieces = block_pieces(blocks).selectExpr(
-        "cast(shiftright(piece, 32) as int) as level", "piece", "hit"
-    )
-    starts = F.expr("shiftleft(piece & 4294967295L, 32 - level)")
-    sorted_in = pieces.select(
-        "level", "piece", "hit", F.shiftright(starts, 16).alias("block"), starts.alias("at")
-    ).unionByName(wanted, allowMissingColumns=True)
+    if isinstance(blocks, Pieces):
+        # Dealt as the buckets are, so that the union of the two is shuffled no more.
+        pieces, wanted = blocks.table, wanted.repartition(blocks.buckets, "lane")
+    else:
+        pieces = placed_pieces(blocks)
+    # Under another name than the table's: its qualified column would hide from the union
+    # that both sides are dealt alike.
+    sorted_in = pieces.withColumnRenamed("block", "lane").unionByName(wanted, allowMissingColumns=True)
     # Pieces come before the addresses at their start.
-    so_far = Window.partitionBy("block").orderBy("at", F.col("level").asc_nulls_last())
+    so_far = Window.partitionBy("lane").orderBy("at", F.col("level").asc_nulls_last())
     last = [
         F.last(F.expr(f"if(level = {n}, struct(piece, hit), null)"), ignorenulls=True)
         .over(so_far.rowsBetween(Window.unboundedPreceding, 0))
@@ -150,7 +202,7 @@ def _with_attributes(located: DataFrame, kept: list[str]) -> DataFrame:
     )
 
 
-def geo_lookup(addresses: DataFrame, blocks: DataFrame, networks6: DataFrame | None = None) -> DataFrame:
+def geo_lookup(addresses: DataFrame, blocks: Blocks, networks6: DataFrame | None = None) -> DataFrame:
     """``(ip, found, country, city, latitude, longitude)``, one row per distinct ``ip``.
 
     ``blocks`` locate IPv4 addresses and, if given, ``networks6`` those of IPv6.
@@ -160,7 +212,7 @@ def geo_lookup(addresses: DataFrame, blocks: DataFrame, networks6: DataFrame | N
 
 
 def locate_mixed(
-    rows: DataFrame, blocks: DataFrame, networks6: DataFrame, address: str = "ip"
+    rows: DataFrame, blocks: Blocks, networks6: DataFrame, address: str = "ip"
 ) -> DataFrame:
     """``locate`` for addresses of both families; IPv4-mapped ones are located as IPv4."""
     kept = rows.columns
@@ -177,13 +229,13 @@ def locate_mixed(
     )
 
 
-def geo_map(packets: DataFrame, blocks: DataFrame, networks6: DataFrame | None = None) -> DataFrame:
+def geo_map(packets: DataFrame, blocks: Blocks, networks6: DataFrame | None = None) -> DataFrame:
     """``(ip, longitude, latitude)`` of every address seen."""
     return geo_lookup(distinct_ips(packets), blocks, networks6).select("ip", "longitude", "latitude")
 
 
 def top_countries(
-    packets: DataFrame, blocks: DataFrame, k: int = 10, role: str = "src"
+    packets: DataFrame, blocks: Blocks, k: int = 10, role: str = "src"
 ) -> DataFrame:
     """``(capture, rank, country, n)``: countries by packets of their hosts in ``role``."""
     per_host = packets.groupBy("capture", F.col(role).alias("ip")).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,6 +153,13 @@ def _kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.pair_totals(spark, folder)
 
 
+def _kept_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses located by a kept table of pieces."""
+    table = f"pieces_{uuid.uuid4().hex}"
+    kept = geo.keep_pieces(geo_view(spark, sf_dir), table, new_folder(spark, "pieces"))
+    return geo.geo_lookup(geo.distinct_ips(packets_view(spark, sf_dir)), kept)
+
+
 def _mixed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     networks = mixed_networks_view(spark, sf_dir)
     addresses = mixed_addresses_view(spark, sf_dir)
@@ -241,6 +249,7 @@ QUERIES: dict[str, Query] = {
         lambda p: hosts.host_packets(p, talkers.top_hosts(p, "src"))
     ),
     "geo_lookup": _on_both(lambda p, g: geo.geo_lookup(geo.distinct_ips(p), g)),
+    "geo_lookup_kept": _kept_lookup,
     "geo_lookup_mixed": _mixed_lookup,
     "geo_country": _attribute("country"),
     "geo_city": _attribute("city"),

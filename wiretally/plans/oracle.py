@@ -472,6 +472,7 @@ FROM listed_rows GROUP BY capture, ip, role, protocol_name""",
 WHERE (capture, ip) IN (SELECT (capture, ip) FROM listed WHERE listed_as = 'src')
 GROUP BY capture, ip, role""",
     "geo_lookup": _located("ip, found, country, city, latitude, longitude"),
+    "geo_lookup_kept": _located("ip, found, country, city, latitude, longitude"),
     "geo_country": _located("ip, country"),
     "geo_city": _located("ip, city"),
     "geo_location": _located("ip, latitude, longitude"),

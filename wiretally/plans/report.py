@@ -45,7 +45,7 @@ class Report(NamedTuple):
 
 def build_report(
     packets: DataFrame,
-    blocks: DataFrame,
+    blocks: geo.Blocks,
     run_id: str | None = None,
     hosts_k: int = TOP_HOSTS,
     pairs_k: int = TOP_PAIRS,
