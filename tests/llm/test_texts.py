@@ -351,6 +351,31 @@ def test_search_of_odd_vectors(spark):
     assert topk.top_inner_products(table.limit(0)).count() == 0
 
 
+def test_queries_move_to_reachable_lanes_only(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    v = draw.normal(0, 1, (2000, 16)) * draw.lognormal(0, 2, (2000, 1))
+    whole = [(i, [int(np.floor(1024 * x)) for x in row]) for i, row in enumerate(v)]
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    moved, reaching = [], topk._reaching
+
+    def counted(query_blocks, blocks):
+        out = reaching(query_blocks, blocks)
+        moved.append((out.count(), query_blocks.count() * blocks.select("lane").distinct().count()))
+        return out
+
+    monkeypatch.setattr(topk, "_reaching", counted)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = rows(topk.top_inner_products(table))
+    finally:
+        spark.conf.unset(coalesce)
+    assert got == _plain_top(whole)
+    few, all_pairs = moved[0]
+    assert 0 < few <= all_pairs // 3
+
+
 def test_pruned_blocks_keep_every_winner():
     draw = np.random.default_rng(4)
     c = np.floor(draw.normal(0, 1024, (3000, 32)) * draw.lognormal(0, 1, (3000, 1)) * np.geomspace(4, 0.1, 32)).astype(np.int64)

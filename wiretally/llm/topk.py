@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import bounded_sample, staged
@@ -233,7 +233,6 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY) ->
         .sortWithinPartitions(F.desc("norm"), F.asc("vec_id")),
         dims, BLOCK, "blocks",
     )
-    lanes = blocks.agg(F.max("lane")).head()[0] or 0
 
     # The first block holds the longest vectors.
     longest = blocks.orderBy("lane", F.desc("longest")).limit(1).collect()
@@ -257,17 +256,35 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY) ->
         bounded.repartitionByRange("needs", "vec_id").sortWithinPartitions("needs", "vec_id"),
         dims, QUERY_BLOCK, "queries",
     )
-    return _ranked(_pair_top(_pairs(query_blocks, blocks, lanes), rotation, dims, k), k)
+    return _ranked(_pair_top(_pairs(query_blocks, blocks), rotation, dims, k), k)
 
 
-def _pairs(query_blocks: DataFrame, blocks: DataFrame, lanes: int) -> DataFrame:
-    """Each block of queries beside each block of candidates that is long enough for one of them."""
-    q = query_blocks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(lanes))).alias("lane"),
+def _reaching(query_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block of queries once per lane that holds a vector long enough for one of them.
+
+    One number per lane goes to the driver; blocks are copied for these lanes only.
+    """
+    longest = blocks.groupBy("lane").agg(F.max("longest").alias("longest")).collect() or [(0, 0.0)]
+    lanes, lengths = F.lit([r[0] for r in longest]), F.lit([r[1] for r in longest])
+    reached = F.filter(lanes, lambda _, i: _reach(F.get(lengths, i), F.col("needs")))
+    return query_blocks.select(
+        F.explode(reached).alias("lane"),
         *[F.col(c).alias(f"q_{c}") for c in ("ids", "nulls", "bounds", "vectors", "needs")],
     )
-    reach = F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("q_needs")
-    return q.join(blocks.drop("needs"), "lane").where(reach).drop("lane", "q_needs", "longest")
+
+
+def _reach(longest: Column, needs: Column) -> Column:
+    return longest * (1 + 1e-9) + 1e-9 >= needs
+
+
+def _pairs(query_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block of queries beside each block of candidates that is long enough for one of them."""
+    return (
+        _reaching(query_blocks, blocks)
+        .join(blocks.drop("needs"), "lane")
+        .where(_reach(F.col("longest"), F.col("q_needs")))
+        .drop("lane", "q_needs", "longest")
+    )
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
