@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions.columns import protocol_bucket, time_bucket
@@ -19,12 +19,17 @@ def traffic_per_bucket(packets: DataFrame, width: int = 1) -> DataFrame:
     Only buckets with a packet appear. Callers take the columns they need and
     the optimizer drops the other aggregates with their input columns.
     """
+    return packets.groupBy("capture", time_bucket(width).alias("second")).agg(*bucket_metrics())
+
+
+def bucket_metrics() -> list[Column]:
+    """The aggregates of a time bucket: ``packets, bytes, HTTP .. others``."""
     bucket = protocol_bucket()
-    return packets.groupBy("capture", time_bucket(width).alias("second")).agg(
+    return [
         F.count("*").alias("packets"),
         F.sum("data_length").alias("bytes"),
         *[F.count_if(bucket == F.lit(b)).alias(b) for b in BUCKETS],
-    )
+    ]
 
 
 def with_index(series: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from wiretally.sources.packets import (
     split_captures,
     union_captures,
     write_packet_text,
+    write_packets,
 )
 from wiretally.sources.tables import (
     geo_view,
@@ -36,6 +37,7 @@ from wiretally.sources.tables import (
     rough_packets,
     rough_ranges,
 )
+from wiretally.streaming import traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,6 +155,15 @@ def _kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.pair_totals(spark, folder)
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traffic per second from totals that a stream of the packets, written as files, has kept."""
+    folder = new_folder(spark, "stream")
+    write_packets(packets_view(spark, sf_dir), f"{folder}/packets")
+    packets = traffic.stream_packets(spark, f"{folder}/packets")
+    traffic.keep_totals(packets, f"{folder}/totals", f"{folder}/checkpoint").awaitTermination()
+    return totals.traffic_totals(spark, f"{folder}/totals")
+
+
 def _kept_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses located by a kept table of pieces."""
     table = f"pieces_{uuid.uuid4().hex}"
@@ -225,6 +236,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "kept_pair_totals": _kept_pairs,
+    "streamed_traffic": _streamed,
     "written_top_src": _written_table,
     "total_bytes": _on_packets(rates.total_bytes),
     "second_index": _on_packets(

@@ -444,6 +444,9 @@ FROM (SELECT capture, second, count(*) AS n FROM seconds GROUP BY capture, secon
     "kept_pair_totals": _packets(
         f"SELECT capture, src, dst, count(*) AS n, {BYTES} AS bytes FROM packets GROUP BY capture, src, dst"
     ),
+    "streamed_traffic": _with(PACKETS, SECONDS)
+    + f"""SELECT capture, second, count(*) AS packets, {BYTES} AS bytes, {PER_PROTOCOL}
+FROM seconds GROUP BY capture, second""",
     "written_top_src": _top_hosts("src", "count(*)"),
     "total_bytes": _packets(f"SELECT capture, {BYTES} AS total FROM packets GROUP BY capture"),
     "second_index": _with(PACKETS, SECONDS, _bucketed(1, "count(*) AS value"))
