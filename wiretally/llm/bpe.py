@@ -37,6 +37,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # Words and arcs that a task remembers; both are emptied when full.
 WORDS_KEPT = 80_000
 ARCS_KEPT = 100_000
+# Bytes of the beginning that is looked up first for the longest label.
+FIRST_TRY = 4
 # Rows that a task turns into ids at a time.
 ROWS = 128
 BYTES = 1 << 20
@@ -77,21 +79,19 @@ class Automaton(Labels):
         for at, merge in enumerate(merges, 1):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], at)
-        # Labels as a table of steps from place and byte to place, and the token that ends there.
-        self.steps: dict[int, int] = {}
-        self.ended: list[int] = [-1]
+        #: The longest token that each beginning of a label begins with.
+        self.longest: dict[bytes, int] = {b"": -1}
         #: The longest token that a token's label begins with, other than itself.
         self.shorter: dict[int, int] = {}
         for token in sorted(self.time, key=lambda i: len(self.labels[i])):
-            place, last = 0, -1
-            for byte in self.labels[token]:
-                last = self.ended[place] if self.ended[place] >= 0 else last
-                step = place << 8 | byte
-                place = self.steps.get(step, 0)
-                if not place:
-                    place = self.steps[step] = len(self.ended)
-                    self.ended.append(-1)
-            self.ended[place], self.shorter[token] = token, last
+            label, last = self.labels[token], -1
+            for end in range(1, len(label)):
+                last = self.longest.setdefault(label[:end], last)
+            self.longest[label], self.shorter[token] = token, last
+        self.sizes = [0] * (max(self.labels, default=0) + 1)
+        for token, label in self.labels.items():
+            self.sizes[token] = len(label)
+        self.decimals = [str(i) for i in range(len(self.sizes))]
         self.arcs: dict[int, bool] = {}
         # Words met lately, and those met before them.
         self.words: dict[str, tuple[int, ...]] = {}
@@ -126,29 +126,34 @@ class Automaton(Labels):
         Longer labels are tried first. A position is reached with one state only,
         so one that led nowhere is not tried again.
         """
-        steps, ended, labels, shorter = self.steps.get, self.ended, self.labels, self.shorter
+        longest, sizes, shorter = self.longest.get, self.sizes, self.shorter
         arcs, arcs_get, n = self.arcs, self.arcs.get, len(word)
         at, state, path = 0, -1, []
         dead: set[int] = set()
         while at < n:
-            # The longest label that goes on from here.
-            token, place, end = -1, 0, at
-            while end < n:
-                place = steps(place << 8 | word[end])
-                if place is None:
-                    break
-                end += 1
-                if ended[place] >= 0:
-                    token = ended[place]
+            # The longest label that goes on from here; most are about as long as the first try.
+            end = at + FIRST_TRY if at + FIRST_TRY < n else n
+            token = longest(word[at:end])
+            if token is None:
+                while token is None:
+                    end -= 1
+                    token = longest(word[at:end])
+            else:
+                while end < n:
+                    end += 1
+                    more = longest(word[at:end])
+                    if more is None:
+                        break
+                    token = more
             while True:
                 if token < 0:
                     # Nothing leads on from here: take back the last arc for a shorter one.
                     dead.add(at)
                     last = path.pop()
-                    at -= len(labels[last])
+                    at -= sizes[last]
                     token, state = shorter[last], path[-1] if path else -1
                     continue
-                end = at + len(labels[token])
+                end = at + sizes[token]
                 if end not in dead:
                     if state < 0:
                         break
@@ -305,7 +310,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 ids = automaton.encode(text.as_py() or "")
-                said, decoded = ",".join(map(str, ids)), automaton.decode(ids)
+                said, decoded = ",".join(map(automaton.decimals.__getitem__, ids)), automaton.decode(ids)
                 rows.append(
                     (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (said, decoded)))
                 )
