@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tests.fixtures import SMALL_CAPTURE, capture, rows
@@ -75,6 +76,31 @@ def test_rejected_lines_come_from_the_pass_that_types_the_others(spark, tmp_path
         assert "Format: Text" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_are_split_without_a_sort(spark, tmp_path, monkeypatch):
+    """A sort would hold a task's lines, text and file name included, in memory."""
+    (tmp_path / "a.csv").write_text(SMALL_CAPTURE)
+    (tmp_path / "n.csv").write_text("10.0.0.5,10.0.0.6,10,TCP,6,50\n,,1,TCP,6,noon\n")
+    paths = {"attack": str(tmp_path / "a.csv"), "normal": str(tmp_path / "n.csv")}
+    folders, written = [], DataFrameWriter.parquet
+
+    def parquet(writer, path, **kwargs):
+        folders.append(path)
+        written(writer, path, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    folder = tmp_path / "split"
+    packets, rejects = split_captures(spark, paths, str(folder))
+    # One job, and no folder of a column's value, for which Spark sorts.
+    assert folders == [str(folder)] and not any(x.is_dir() for x in folder.iterdir())
+    assert (packets.count(), rejects.count()) == (7, 3)
+    # A file has one capture, so that its statistics leave it out for the other.
+    by_file = spark.read.parquet(str(folder)).groupBy("_metadata.file_path").agg(F.count_distinct("capture").alias("n"))
+    assert {r["n"] for r in by_file.collect()} == {1}
+    # Written again, nothing of the first time stays.
+    packets, rejects = split_captures(spark, {"normal": paths["normal"]}, str(folder))
+    assert (packets.count(), rejects.count()) == (1, 1)
+
+
 @pytest.mark.parametrize("width", [1, 2, 7])
 def test_idle_buckets(spark, width):
     # 131,072 seconds between two packets, and a capture of one second.

@@ -110,9 +110,12 @@ def split_captures(
 ) -> tuple[DataFrame, DataFrame]:
     """The packets of several captures and their unusable lines, from one pass over the text.
 
-    Both are written to ``folder`` by one job, split by capture and by whether a
-    line is usable, and read back. Rejected lines have ``capture, file, reason,
-    line``; ``count_rejected`` counts them by reason.
+    Both are written to ``folder`` by one job, side by side as lines come, and read
+    back by the column ``usable``. Folders for it and for the capture would have every task
+    sort its lines with their text first; so a file has lines of one capture, and
+    row groups of another one, or without a rejected line, are left out by their
+    statistics. Rejected lines have ``capture, file, reason, line``;
+    ``count_rejected`` counts them by reason.
     """
     parts = []
     for name, path in paths.items():
@@ -125,7 +128,7 @@ def split_captures(
         F.when(~usable, F.col("file")).alias("file"),
         F.col("reject").alias("reason"),
         F.when(~usable, F.col("value")).alias("line"),
-    ).write.mode("overwrite").partitionBy("usable", "capture").parquet(folder)
+    ).write.mode("overwrite").parquet(folder)
     kept = StructType([*PACKET_SCHEMA.fields, StructField("usable", BooleanType())])
     kept = kept.add("file", "string").add("reason", "string").add("line", "string")
     both = spark.read.schema(kept).parquet(folder)
