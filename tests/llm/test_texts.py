@@ -291,6 +291,27 @@ def test_licences_anywhere_in_a_line(spark, ordinary_lines):
     assert rows(got, "doc_id", "paragraph", "family") == want
 
 
+def test_licences_are_learned_from_every_window(spark):
+    """More texts than a bounded sample would hold, two windows of most, some copies and a licence."""
+    texts = [" ".join(f"the{i % 7} software{i} {j}" for j in range(60)) for i in range(3000)]
+    docs = documents(spark, [*texts, *texts[:500], None, "", "Released under the MIT License.", "Some rights."])
+    known = license_scan._known(spark)
+    ordinary = license_scan._ordinary(docs, known)
+    assert ordinary.count() == 2 * 3500 + 1
+    assert ordinary.select("h").distinct().count() == 2 * 3000 + 1
+    # Each different window once as it is and once with a statement, of every family in both halves.
+    examples = license_scan._examples(docs, known).cache()
+    assert rows(examples.groupBy(F.col("label") > 0).agg(F.sum("n"))) == [(False, 6001.0), (True, 6001.0)]
+    assert examples.select("half", "label").distinct().count() == 2 * (1 + len(license_scan.TEMPLATES))
+
+
+def test_confidence_that_few_windows_exceed():
+    # Of 2,000 windows two may be above.
+    assert license_scan._level({1: 1990.0, 400: 8.0, 9000: 1.0, 9900: 1.0}) == 0.04
+    assert license_scan._level({1: 1990.0, 400: 7.0, 9000: 2.0, 9900: 1.0}) == 0.9
+    assert license_scan._level({3: 1.0, 7: 1.0}) == 0.0007
+
+
 def test_licences_of_held_out_paragraphs(spark, ordinary_lines):
     """Each family's statements with words left out and set into ordinary text; ordinary text alone."""
     draw, texts, want = random.Random(8), list(ordinary_lines[:200]), []

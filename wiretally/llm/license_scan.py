@@ -2,10 +2,12 @@
 
 A paragraph is a stretch of neighbouring lines with a word; comment markers are no
 words. Its words are looked at in windows around words that licences use, at any
-place of a line and over line ends. Sparse word n-grams of a window go through a
-multinomial logistic regression over licence families and an unknown class, trained
-on statements of each family set into ordinary text. The unknown class is calibrated:
-a window needs more confidence than all but a small share of ordinary ones reach.
+place of a line and over line ends. The word n-grams of a window that templates use go
+through a multinomial logistic regression over licence families and an unknown class,
+trained on every window of the corpus that holds nothing like a template, as it is and
+with a statement of a family set into it. The unknown class is calibrated on all of
+these: a window needs more confidence than all but a small share of ordinary ones
+reach under a model that has not seen them.
 The families that the classifier names are then confirmed, and placed, by their own
 templates: a stretch of the window must have most of a template's n-grams, and its
 names and version numbers. SPDX identifiers are read as such.
@@ -19,14 +21,14 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, NGram, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import bounded_sample, staged
+from wiretally.llm.common import staged
 
 UNKNOWN = "unknown"
 # The statements by which texts name their licence.
@@ -154,11 +156,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Copyright. All rights reserved. No part may be reproduced without permission.",
     ),
 }
-# Documents whose windows are sampled, and windows that the classifier learns from and is calibrated on.
-SAMPLE_DOCUMENTS = 600
-SAMPLE = 2400
-BUCKETS = 1 << 12
-SEED = 42
+# Steps of the confidence by which ordinary windows are counted.
+LEVELS = 10_000
 # Share of ordinary windows that may be as confident as a find.
 MOST_FALSE = 0.001
 # The confidence that a find needs at least, where ordinary windows have next to none.
@@ -168,7 +167,8 @@ NAMED = 0.1
 # Share of a template's n-grams that a statement must have, in a few more words than it.
 LEAST_OVERLAP = 0.6
 SLACK = 4
-TEMPLATE_WEIGHT = 4.0
+# A template alone weighs as much as this share of the windows learned from, and at least as so many.
+TEMPLATE_SHARE, TEMPLATE_WEIGHT = 1 / 300, 4.0
 # A window's words: those of a block and the longest template before and after it.
 BLOCK, AROUND = 16, 48
 # Parts of words of which every template has one. What has none can be no find.
@@ -233,11 +233,21 @@ def _known(spark: SparkSession) -> Column:
     return F.from_json(F.lit(json.dumps(by_family)), kind)
 
 
-def _featured() -> list:
+def _vocabulary(spark: SparkSession) -> list[str]:
+    """The n-grams of all templates; others can't tell one family from another."""
+    grams = templates(spark).select(F.explode(_grams("words")).alias("g")).distinct().collect()
+    return sorted(r["g"] for r in grams)
+
+
+def _counted(vocabulary: list[str]) -> CountVectorizerModel:
+    return CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", binary=True)
+
+
+def _featured(vocabulary: list[str]) -> list:
     return [
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, array_distinct(concat(words, pairs)) AS grams FROM __THIS__"),
-        HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features"),
+        _counted(vocabulary),
     ]
 
 
@@ -287,63 +297,110 @@ def _windows(paragraphs: DataFrame) -> DataFrame:
 
 
 def _ordinary(docs: DataFrame, known: Column) -> DataFrame:
-    """``words, h``: a bounded sample of the corpus's windows that hold nothing like a template."""
-    some = bounded_sample(docs.select("text").where("text is not null"), SAMPLE_DOCUMENTS, SEED, "text")
+    """``words, h, grams``: every window of every text that holds nothing like a template.
+
+    The windows follow each other; ``grams`` are those that templates use, and
+    ``h`` is a hash of the words. The one-element explodes here and in ``_examples`` keep
+    n-grams from being made again for each template.
+    """
     size = BLOCK + 2 * AROUND
     pieces = F.expr(f"transform(sequence(1, greatest(size(w), 1), {size}), i -> slice(w, i, {size}))")
     windows = (
-        some.select(words_of(F.col("text")).alias("w"))
+        docs.where("text is not null")
+        .select(words_of(F.col("text")).alias("w"))
         .select(F.explode(pieces).alias("words"))
         .where(F.size("words") > 0)
     )
-    sampled = bounded_sample(windows.select(F.concat_ws(" ", "words").alias("t")), SAMPLE, SEED, "t")
-    # Written first, so that n-grams are not made again for each template.
-    grams = staged(
-        sampled.select(F.split("t", " ").alias("words"), F.abs(F.xxhash64("t")).alias("h")).withColumn("g", _grams("words")),
-        "grams",
+    grams = windows.select(
+        "words", F.abs(F.xxhash64("words")).alias("h"), F.explode(F.array(_known_grams(docs.sparkSession))).alias("grams")
     )
     near = F.array_max(
-        F.transform(F.flatten(F.map_values(known)), lambda t: F.size(F.array_intersect("g", t["grams"])) / F.size(t["grams"]))
+        F.transform(F.flatten(F.map_values(known)), lambda t: F.size(F.array_intersect("grams", t["grams"])) / F.size(t["grams"]))
     )
-    return staged(grams.where(near < 0.5).select("words", "h"), "ordinary")
+    return grams.where(near < 0.5)
 
 
-def learn(docs: DataFrame, known: Column) -> tuple[PipelineModel, float]:
-    """The classifier, and the confidence that a find needs.
+def _known_grams(spark: SparkSession) -> Column:
+    """The n-grams of ``words`` that templates use, in order."""
+    return F.sort_array(F.array_intersect(_grams("words"), F.array(*[F.lit(g) for g in _vocabulary(spark)])))
 
-    It learns from every template alone and set into ordinary windows, and from such
-    windows as they are; every other one of these calibrates.
+
+def _statements(spark: SparkSession) -> DataFrame:
+    """``i, label, said``: the templates' words, numbered, and the numbers of their families from 1."""
+    said = [(i, float(1 + list(TEMPLATES).index(f)), t) for i, (f, t) in enumerate((f, t) for f, x in TEMPLATES.items() for t in x)]
+    return spark.createDataFrame(said, "i int, label double, text string").select(
+        "i", "label", words_of(F.col("text")).alias("said")
+    )
+
+
+def _examples(docs: DataFrame, known: Column) -> DataFrame:
+    """``half, label, grams, n``: the ordinary windows as they are, with label 0, and with a statement.
+
+    Each different window counts once, however often it occurs, and takes one statement
+    after and before some of its words. ``n`` windows have the same ``grams``;
+    that is all that the regression sees of them.
     """
     spark = docs.sparkSession
-    labels = {family: i for i, family in enumerate([UNKNOWN, *TEMPLATES])}
-    label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    ordinary = _ordinary(docs, known)
-    fits = ordinary.where("h % 2 = 0")
-    said = [(i, f, t) for i, (f, t) in enumerate((f, t) for f, texts in TEMPLATES.items() for t in texts)]
-    statements = spark.createDataFrame(said, "i int, family string, text string").select(
-        "i", label[F.col("family")].cast("double").alias("label"), words_of(F.col("text")).alias("said")
-    )
-    # Each window takes one statement, after and before some of its words.
+    many = sum(map(len, TEMPLATES.values()))
     before, after = (f"slice(words, {begin}, cast(h div {by} % {AROUND} as int))" for begin, by in ((1, 1000), (AROUND + 1, 100_000)))
-    inside = fits.join(F.broadcast(statements), F.col("h") % len(said) == F.col("i")).select(
-        F.expr(f"concat({before}, said, {after})").alias("words"), "label", F.lit(1.0).alias("weight")
+    joined = _ordinary(docs, known).join(F.broadcast(_statements(spark)), F.col("h") % many == F.col("i"))
+    inside = joined.select("h", "grams", "label", F.explode(F.array(F.expr(f"concat({before}, said, {after})"))).alias("words"))
+    different = inside.select("h", "grams", "label", _known_grams(spark).alias("inside")).distinct()
+    both = F.array(
+        F.struct(F.lit(0.0).alias("label"), F.col("grams")), F.struct("label", F.col("inside").alias("grams"))
     )
-    rows = (
-        statements.select(F.col("said").alias("words"), "label", F.lit(TEMPLATE_WEIGHT).alias("weight"))
-        .union(inside)
-        .union(fits.select("words", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight")))
+    return (
+        different.select((F.expr(f"h div {many}") % 2).alias("half"), F.explode(both).alias("x"))
+        .groupBy("half", "x.label", "x.grams")
+        .agg(F.count("*").cast("double").alias("n"))
+    )
+
+
+def _fit(examples: DataFrame, alone: DataFrame) -> Model:
+    """The regression of ``examples`` and the templates ``alone``."""
+    total = examples.where("label = 0").agg(F.sum("n")).head()[0] or 0
+    weight = max(TEMPLATE_WEIGHT, TEMPLATE_SHARE * total)
+    rows = examples.select("features", "label", F.col("n").alias("weight")).union(
+        alone.select("features", "label", F.lit(weight))
     )
-    features = Pipeline(stages=_featured()).fit(rows)
-    fitting = staged(features.transform(rows).select("features", "label", "weight"), "fitting")
     regression = LogisticRegression(
         family="multinomial", maxIter=40, regParam=0.0005, weightCol="weight", standardization=False
     )
-    model = PipelineModel([*features.stages, regression.fit(fitting.coalesce(1))])
-    known_share = model.transform(ordinary.where("h % 2 = 1")).select(
-        (1 - vector_to_array("probability")[0]).alias("p")
-    )
-    level = known_share.approxQuantile("p", [1 - MOST_FALSE], 0.0001)
-    return model, max(LEAST_LEVEL, level[0]) if level else 0.5
+    return regression.fit(rows)
+
+
+def learn(docs: DataFrame, known: Column) -> tuple[PipelineModel, float]:
+    """The classifier, and the confidence that a find needs.
+
+    It learns from every template alone and set into ordinary windows, and from such
+    windows as they are, of the whole corpus. For the confidence, two more are learned,
+    one from each half of the windows, and tried on the other half.
+    """
+    spark = docs.sparkSession
+    vocabulary = _vocabulary(spark)
+    counted = _counted(vocabulary)
+    examples = staged(counted.transform(staged(_examples(docs, known), "examples")), "fitting")
+    alone = _statements(spark).coalesce(1).select("label", F.col("said").alias("words"))
+    alone = counted.transform(alone.select("label", _grams("words").alias("grams")))
+    tried = [
+        _fit(examples.where(F.col("half") != half), alone).transform(examples.where((F.col("half") == half) & (F.col("label") == 0)))
+        for half in (0, 1)
+    ]
+    step = F.ceil((1 - vector_to_array("probability")[0]) * LEVELS).cast("int")
+    # At most one row a step.
+    ordinary = tried[0].union(tried[1]).groupBy(step.alias("step")).agg(F.sum("n").alias("n")).collect()
+    model = PipelineModel([*_featured(vocabulary), _fit(examples, alone)])
+    return model, max(LEAST_LEVEL, _level({r["step"]: r["n"] for r in ordinary})) if ordinary else 0.5
+
+
+def _level(ordinary: dict[int, float]) -> float:
+    """The least confidence above which there are at most ``MOST_FALSE`` of the windows, by their numbers of each step."""
+    above, most = 0.0, MOST_FALSE * sum(ordinary.values())
+    for step in sorted(ordinary, reverse=True):
+        above += ordinary[step]
+        if above > most:
+            return step / LEVELS
+    return 0.0
 
 
 def _identifiers(docs: DataFrame) -> DataFrame:
