@@ -314,15 +314,25 @@ def _ordinary(docs: DataFrame, known: Column) -> DataFrame:
     grams = windows.select(
         "words", F.abs(F.xxhash64("words")).alias("h"), F.explode(F.array(_known_grams(docs.sparkSession))).alias("grams")
     )
-    near = F.array_max(
-        F.transform(F.flatten(F.map_values(known)), lambda t: F.size(F.array_intersect("grams", t["grams"])) / F.size(t["grams"]))
+    # A template with more than twice the n-grams can't be half there.
+    like = F.exists(
+        F.flatten(F.map_values(known)),
+        lambda t: F.when(
+            F.size("grams") * 2 >= F.size(t["grams"]), F.size(F.array_intersect("grams", t["grams"])) * 2 >= F.size(t["grams"])
+        ).otherwise(F.lit(False)),
     )
-    return grams.where(near < 0.5)
+    return grams.where(~like)
 
 
 def _known_grams(spark: SparkSession) -> Column:
     """The n-grams of ``words`` that templates use, in order."""
-    return F.sort_array(F.array_intersect(_grams("words"), F.array(*[F.lit(g) for g in _vocabulary(spark)])))
+    known = _vocabulary(spark)
+    # Letters, digits, dots and hyphens.
+    single, pair = (", ".join(f"'{g}'" for g in known if (" " in g) == two) for two in (False, True))
+    here = f"filter(sequence(0, size(words) - 1), i -> words[i] in ({single}))"
+    pairs = "transform(p, i -> concat_ws(' ', words[i], get(words, i + 1)))"
+    both = f"concat(transform(p, i -> words[i]), filter({pairs}, g -> g in ({pair})))"
+    return F.expr(f"sort_array(array_distinct(transform(array({here}), p -> {both})[0]))")
 
 
 def _statements(spark: SparkSession) -> DataFrame:
